@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import simhash
+from plumbline.llm import mixing, simhash
 from plumbline.llm.common import table
 
 
@@ -15,5 +15,13 @@ def op1_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op10_mixing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(docs, F.col("size"), weights=[3, 1, 2], share=1.5, cap=2.0)
+    return mixed.select(
+        F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate"
+    )
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
