@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, simhash
+from plumbline.llm import decontaminate, mixing, simhash
 from plumbline.llm.common import table
 
 
@@ -15,6 +15,15 @@ def op1_simhash(spark, sf_dir):
     )
 
 
+def op3_decontaminate(spark, sf_dir):
+    documents, windows = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate.summarize(documents, windows)
+    return out.select(
+        "doc_id", "n_words", "n_hit", "n_items",
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("size"), weights=[3, 1, 2], share=1.5, cap=2.0)
@@ -23,5 +32,5 @@ def op10_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
