@@ -146,6 +146,7 @@ def near_duplicates(
     classes = own.join(linked, "fp", "left").select(
         "fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
+    classes = scratch.keep(classes, "classes")  # a join of two plain tables: a fingerprint of very many rows can be split
     return rows.join(classes, "fp").select(id_col, "fp", "component_id", "n_links")
 
 
