@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, simhash
+from plumbline.llm import decontaminate, mixing, quality_rules, simhash
 from plumbline.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_decontaminate(spark, sf_dir):
     )
 
 
+def op4_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("size"), weights=[3, 1, 2], share=1.5, cap=2.0)
@@ -32,5 +36,5 @@ def op10_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
