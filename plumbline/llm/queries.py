@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, quality_rules, simhash
+from plumbline.llm import decontaminate, mixing, quality_rules, simhash, url_filter
 from plumbline.llm.common import table
 
 
@@ -28,6 +28,21 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op5_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    out = url_filter.judge(pages, URL_RULES, url_filter.labelled_urls(spark))
+    return out.select("row.page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op10_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, F.col("size"), weights=[3, 1, 2], share=1.5, cap=2.0)
@@ -36,5 +51,5 @@ def op10_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
