@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, Scratch, ascii_lower, settle
+from plumbline.llm.common import BROADCAST_ROWS, Scratch, ascii_lower, let, settle
 
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
@@ -38,27 +38,35 @@ def _from(a: Column, k: int) -> Column:
     return F.slice(a, F.lit(k + 1), F.greatest(F.size(a) - k, F.lit(0))) if k else a
 
 
+def _pairs(a: Column, k: int, f) -> Column:
+    """``f`` of each element and the one ``k`` further on; ``a`` is evaluated once."""
+    return let(a, lambda x: F.zip_with(x, _from(x, k), f))
+
+
 def _grams(h: Column, n: int) -> Column:
-    """A hash for each run of ``n`` elements (``n`` <= size), by doubling; the last ``n - 1`` are void."""
-    power, width, out, done = h, 1, None, 0
-    while True:
+    """A hash for each run of ``n`` elements, by doubling."""
+
+    def go(power, width, out, done):
         if n & width:
             out = power if out is None else F.zip_with(out, _from(power, done), lambda x, y: F.xxhash64(x, y))
             done += width
         if done == n:
-            return F.slice(out, F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0)))
-        power = F.zip_with(power, _from(power, width), lambda x, y: F.xxhash64(x, y))
-        width *= 2
+            return out
+        return let(_pairs(power, width, lambda x, y: F.xxhash64(x, y)), lambda p: go(p, 2 * width, out, done))
+
+    return F.slice(go(h, 1, None, 0), F.lit(1), F.greatest(F.size(h) - (n - 1), F.lit(0)))
 
 
 def _least(a: Column, n: int) -> Column:
     """The least of each run of ``n`` elements."""
-    out, width = a, 1
-    while width < n:
+
+    def go(out, width):
+        if width == n:
+            return out
         step = min(width, n - width)
-        out = F.zip_with(out, _from(out, step), lambda x, y: F.least(x, y))
-        width += step
-    return F.slice(out, F.lit(1), F.greatest(F.size(a) - (n - 1), F.lit(0)))
+        return go(_pairs(out, step, lambda x, y: F.least(x, y)), width + step)
+
+    return let(a, lambda x: F.slice(go(x, 1), F.lit(1), F.greatest(F.size(x) - (n - 1), F.lit(0))))
 
 
 def _window_prints(hashes: Column, length: int, window: int, gram: int) -> Column:
