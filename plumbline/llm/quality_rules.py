@@ -105,11 +105,16 @@ def statistics(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] =
     return df.withColumn("z", F.array(*fixed)).drop("n_distinct", "n_capitals")
 
 
+def _paired(a: Column, k: int) -> Column:
+    """A hash of each element with the one ``k`` further on; ``a`` is evaluated once."""
+    return let(a, lambda o: F.zip_with(o, F.slice(o, F.lit(k + 1), F.greatest(F.size(o) - k, F.lit(0))), lambda x, y: F.xxhash64(x, y)))
+
+
 def _windows(h: Column) -> Column:
     """A hash of each run of ``REPEAT_WINDOW`` (a power of two) hashes."""
     out, width = h, 1
     while width < REPEAT_WINDOW:
-        out = F.zip_with(out, F.slice(out, F.lit(width + 1), F.greatest(F.size(out) - width, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+        out = _paired(out, width)
         width *= 2
     return F.slice(out, F.lit(1), F.greatest(F.size(h) - (REPEAT_WINDOW - 1), F.lit(0)))
 
