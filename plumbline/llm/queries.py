@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, quality_pu, quality_rules, simhash, url_filter
+from plumbline.llm import decontaminate, mixing, quality_pu, quality_rules, simhash, token_output, url_filter
 from plumbline.llm.common import table
 
 
@@ -43,6 +43,12 @@ def op5_url_filter(spark, sf_dir):
     return out.select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op8_token_output(spark, sf_dir):
+    import public_tokenizers
+
+    return token_output.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_quality_pu(spark, sf_dir):
     out = quality_pu.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", quality_pu.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
@@ -56,5 +62,5 @@ def op10_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op8_token_output": op8_token_output, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
