@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
-        return found.rstrip("/")
+        return qualified(spark, found.rstrip("/"))
     if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="plumbline-")
@@ -34,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system's scheme, so that readers outside Spark take the same one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString()
+    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file://") else out
+
+
 class Scratch:
     """Tables written to the shared folder; reading one back cuts the lineage.
 

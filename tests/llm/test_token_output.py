@@ -61,4 +61,4 @@ def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a"), (1, None)], "doc_id bigint, text string")
     assert sorted((r.start, r.doc_id, r.n_tokens) for r in out.round_trip(docs, PATH, 2).collect()) == [(0, None, 2), (2, 1, 1)]
     assert out.round_trip(docs.where(F.lit(False)), PATH, 2).count() == 0
-    assert Scratch(spark, "x").root.startswith("file:")
+    assert Scratch(spark, "x").root.startswith("file:///")
