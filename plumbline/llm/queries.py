@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, quality_pu, quality_rules, simhash, token_output, url_filter
+from plumbline.llm import decontaminate, mixing, pii, quality_pu, quality_rules, simhash, token_output, url_filter
 from plumbline.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op1_simhash(spark, sf_dir):
     )
 
 
+def op2_pii(spark, sf_dir):
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, pii.KINDS), F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans")
+    )
+
+
 def op3_decontaminate(spark, sf_dir):
     documents, windows = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     out = decontaminate.summarize(documents, windows)
@@ -62,5 +70,5 @@ def op10_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op8_token_output": op8_token_output, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op8_token_output": op8_token_output, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {}
