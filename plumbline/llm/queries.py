@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, pii, quality_pu, quality_rules, simhash, token_output, url_filter
-from plumbline.llm.common import table
+from plumbline.llm import decontaminate, lm_score, mixing, pii, quality_pu, quality_rules, simhash, token_output, token_rollup, url_filter
+from plumbline.llm.common import Scratch, table
 
 
 def op1_simhash(spark, sf_dir):
@@ -51,6 +51,43 @@ def op5_url_filter(spark, sf_dir):
     return out.select("row.page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op6_token_rollup(spark, sf_dir):
+    """Five batches over all documents: inserts for two tokenizer versions, a batch sent
+    again, revised counts of the first version (junk symbols no longer count), and
+    deletes of all but the first of equal texts."""
+    docs = table(spark, sf_dir, "documents")
+    scratch = Scratch(spark, "rollup")
+    count = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
+    rows = scratch.keep(
+        docs.select(
+            "doc_id", "source", "lang", F.md5("text").alias("text"),
+            count(r"[^\x20\x09-\x0D]+").alias("a"), count(r"[^\x20\x09-\x0D#*$%&|<>]+").alias("a2"),
+            count(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").alias("b"),
+        ),
+        "counts",
+    )
+    first = rows.groupBy("text").agg(F.min("doc_id").alias("first"))
+    extra = rows.alias("r").join(first.alias("f"), F.expr("r.text <=> f.text")).where("doc_id <> first").select("r.*")
+    none = F.lit(None).cast("long")
+
+    def changes(df, op, version, old, new):
+        return df.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), old.alias("old_tokens"), new.alias("new_tokens"))
+
+    store = token_rollup.TokenRollup(spark, scratch.path("store"))
+    a, a2, b = F.col("a"), F.col("a2"), F.col("b")
+    store.apply("1", changes(rows, "insert", "words-1", none, a))
+    store.apply("2", changes(rows, "insert", "alnum-1", none, b))
+    store.apply("2", changes(rows, "insert", "alnum-1", none, b))
+    store.apply("3", changes(rows, "revise", "words-1", a, a2))
+    store.compact()
+    store.apply("4", changes(extra, "delete", "words-1", a2, none).union(changes(extra, "delete", "alnum-1", b, none)))
+    return store.totals()
+
+
+def op7_lm_score(spark, sf_dir):
+    return lm_score.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_token_output(spark, sf_dir):
     import public_tokenizers
 
@@ -70,5 +107,34 @@ def op10_mixing(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op8_token_output": op8_token_output, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op6_token_rollup": op6_token_rollup, "op7_lm_score": op7_lm_score, "op8_token_output": op8_token_output, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {
+    "op6_token_rollup": r"""
+WITH counted AS (
+  SELECT source, lang, doc_id = min(doc_id) OVER (PARTITION BY text) AS first,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D#*$%&|<>]+')), 0) AS a,
+         coalesce(len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) AS b
+  FROM documents)
+SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(a) AS BIGINT) AS n_tokens FROM counted WHERE first GROUP BY source, lang
+UNION ALL
+SELECT source, lang, 'alnum-1', count(*), CAST(sum(b) AS BIGINT) FROM counted WHERE first GROUP BY source, lang
+""",
+    "op7_lm_score": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+w AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+t AS (SELECT count(*) AS n FROM w),
+v AS (SELECT w, count(*) AS c FROM w GROUP BY w HAVING count(*) >= (SELECT greatest(1, ceil(n / 1048576.0)) FROM t)),
+u AS (SELECT rid, i, v.w AS w, v.c AS c FROM w LEFT JOIN v USING (w)),
+k AS (SELECT rid, i, w, coalesce(c, (SELECT n FROM t) - (SELECT sum(c) FROM v)) AS c,
+             lag(w) OVER o AS pw, coalesce(lag(c) OVER o, (SELECT n FROM t) - (SELECT sum(c) FROM v)) AS pc
+      FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
+b AS (SELECT pw, w, count(*) AS c2 FROM k WHERE i > 1 GROUP BY pw, w),
+s AS (SELECT k.rid, CASE WHEN i = 1 THEN ln(k.c / (SELECT n FROM t)) WHEN c2 >= 2 THEN ln(c2 / pc) ELSE ln(0.4 * k.c / (SELECT n FROM t)) END AS x
+      FROM k LEFT JOIN b ON k.pw IS NOT DISTINCT FROM b.pw AND k.w IS NOT DISTINCT FROM b.w)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(m, 6) AS score
+FROM d LEFT JOIN (SELECT rid, avg(x) AS m FROM s GROUP BY rid) USING (rid)
+""",
+}
