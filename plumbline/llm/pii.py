@@ -9,14 +9,14 @@ from being tried at each of its characters.
 
 Bootstrapping: base entities are the seeds. Every identifier-like token run (with a
 digit or an @) is a candidate instance, and the one or two words before it a
-lexical pattern. Patterns and instances form a graph. Each
-round scores a pattern by the mean score of the distinct instances it leads to,
-over everything its words lead to in the corpus, with ``PRIOR`` doubtful ones
-added; and each unknown instance by how sure its patterns are together (noisy or).
-Seeds stay at 1. After ``ROUNDS`` rounds, instances that reach ``ACCEPT`` through
-patterns of ``SUPPORT`` distinct seeds or more are marked wherever such a pattern
-precedes them. All counts are of distinct strings, so copies do not vote twice,
-and are partly added before each shuffle, so a common word is no single task's load.
+lexical pattern. Patterns and instances form a graph. Each round scores a pattern by
+the scores of the instances that follow it, over all that follows its words in the
+corpus, with ``PRIOR`` doubtful ones added; and each unknown instance by how sure
+its patterns are together (noisy or). Seeds stay at 1. After ``ROUNDS`` rounds,
+instances that reach ``ACCEPT`` are marked wherever a sure pattern precedes them. A
+pattern needs ``SUPPORT`` distinct seeds, so copies of one do not make it. All
+counts are partly added before each shuffle, so a common word is no single task's
+load, and what crosses it is a row for each pattern, not for each follower.
 
 Nulls: a null text is empty, a null id is kept. Repeated rows get a row each; an
 empty table gives an empty result.
@@ -151,31 +151,29 @@ def _sent(df: DataFrame) -> DataFrame:
 def discover(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
     """``(doc_id, key, start, end, kind, score)`` of accepted instances; None when no pattern has the support."""
     found = scratch.keep(candidates(rows), "candidates")
-    edges = found.select(F.explode(F.array("one", "two")).alias("words"), "value", "kind").distinct()
+    edges = found.select(F.explode(F.array("one", "two")).alias("words"), "value", "kind").groupBy("words", "value", "kind").agg(F.count("*").alias("times"))
     seeds = edges.where("kind is not null").groupBy("words", "kind").agg(F.count_distinct("value").alias("seeds"))
     patterns = scratch.keep(seeds.where(F.col("seeds") >= SUPPORT), "patterns")
     if is_empty(patterns):
         return None
-    # what the patterns' words lead to in the corpus: distinct followers
+    # how often the patterns' words lead to anything
     heads = scratch.keep(patterns.select("words").distinct(), "heads")
     tokens = settle(rows.select("text"), w=F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    pair = F.transform("w", lambda x, i: F.struct(
-        F.concat(F.lit("1 "), F.when(i > 0, F.get("w", i - 1)).otherwise("^")).alias("a"),
-        F.concat_ws(" ", F.lit("2"), F.when(i > 1, F.get("w", i - 2)).otherwise("^"), F.when(i > 0, F.get("w", i - 1)).otherwise("^")).alias("b"),
-        x.alias("next"),
-    ))
-    pairs = tokens.select(F.explode(pair).alias("p")).select(F.explode(F.array("p.a", "p.b")).alias("words"), F.xxhash64("p.next").alias("next"))
-    follow = pairs.join(_sent(heads), "words", "left_semi").distinct().groupBy("words").agg(F.count("*").alias("followers"))
-    patterns = scratch.keep(patterns.join(follow, "words", "left").select("words", "kind", "seeds", F.coalesce("followers", F.lit(0)).alias("followers")), "patterns")
+    before = lambda i, k: F.when(i >= k, F.get("w", i - k)).otherwise("^")
+    pair = F.transform("w", lambda x, i: F.struct(F.concat(F.lit("1 "), before(i, 1)).alias("a"), F.concat_ws(" ", F.lit("2"), before(i, 2), before(i, 1)).alias("b")))
+    pairs = tokens.select(F.explode(pair).alias("p")).select(F.explode(F.array("p.a", "p.b")).alias("words"))
+    follow = pairs.join(_sent(heads), "words", "left_semi").groupBy("words").agg(F.count("*").alias("followers"))
+    patterns = scratch.keep(patterns.join(follow, "words", "left").select("words", "kind", F.coalesce("followers", F.lit(0)).alias("followers")), "patterns")
     # the graph: instances that patterns of each kind lead to
-    links = edges.select("words", "value", F.col("kind").alias("own")).distinct().join(_sent(patterns), "words")
-    links = links.groupBy("words", "kind", "value", "seeds", "followers").agg(F.max(F.coalesce((F.col("own") == F.col("kind")).cast("double"), F.lit(0.0))).alias("seed"))
+    links = edges.select("words", "value", "times", F.col("kind").alias("own")).join(_sent(patterns), "words")
+    is_seed = F.coalesce((F.col("own") == F.col("kind")).cast("double"), F.lit(0.0))
+    links = links.groupBy("words", "kind", "value", "followers").agg(F.max(is_seed).alias("seed"), F.sum("times").alias("times"))
     links = scratch.keep(links, "links")
     score = None
     for _ in range(ROUNDS):
         known = F.col("seed") if score is None else F.greatest(F.col("seed"), F.coalesce("score", F.lit(0.0)))
         graph = links if score is None else links.join(score, ["value", "kind"], "left")
-        sure = graph.groupBy("words", "kind", "seeds", "followers").agg(F.sum(known).alias("got"))
+        sure = graph.groupBy("words", "kind", "followers").agg(F.sum(known * F.col("times")).alias("got"))
         sure = sure.select("words", "kind", F.least(F.lit(0.99), F.col("got") / (F.greatest("followers", "got") + PRIOR)).alias("sure"))
         sure = scratch.keep(sure, "pattern-scores")
         score = links.join(_sent(sure), ["words", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("sure"))))).alias("score"))
