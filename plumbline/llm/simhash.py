@@ -24,10 +24,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, is_empty
+from plumbline.llm.common import BROADCAST_ROWS, Scratch, is_empty
 from plumbline.llm.components import connected_components
 
 BITS = 64
@@ -60,20 +60,26 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """``(id_col, fp)`` for every row, ``fp`` the fingerprint as a signed long."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp bigint"
+    """``(id_col, key, fp)`` for every row: a hash of the text, and its fingerprint as a signed long."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint"
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             fps = np.fromiter(
                 (fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in texts),
                 dtype=np.uint64,
                 count=len(texts),
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=[id_col, "key", "fp"])
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col), F.xxhash64(text), text).mapInArrow(run, schema)
+
+
+def _sent(df: DataFrame, rows: int) -> DataFrame:
+    """A table of known, small size is sent to every task, which spares the other side a shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _prefix(key, depth: int):
@@ -100,7 +106,9 @@ def hamming_links(fps: DataFrame, scratch: Scratch, max_dist: int = 2) -> DataFr
         leaf = trie.select("rot", "fp", "key", _prefix(F.col("key"), depth).alias("p"))
         left = leaf.select("rot", F.col("p").alias("a"), F.col("fp").alias("u"), F.col("key").alias("ku"))
         right = leaf.select("rot", F.col("p").alias("b"), F.col("fp").alias("v"), F.col("key").alias("kv"))
-        opened = pairs.where(few).select("rot", "a", "b").join(left, ["rot", "a"]).alias("l").join(
+        n_pairs, n_left = pairs.where(few).agg(F.count("*"), F.coalesce(F.sum("na"), F.lit(0))).first()
+        opened = _sent(pairs.where(few).select("rot", "a", "b"), n_pairs).join(left, ["rot", "a"])
+        opened = _sent(opened, n_left).alias("l").join(
             right.alias("r"),
             F.expr(f"l.rot = r.rot and l.b = r.b and bit_count(l.ku ^ r.kv) <= {max_dist} and (l.a <> r.b or l.u < r.v)"),
         )
@@ -124,17 +132,8 @@ def hamming_links(fps: DataFrame, scratch: Scratch, max_dist: int = 2) -> DataFr
         depth = deeper
 
 
-def near_duplicates(
-    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, max_dist: int = 2
-) -> DataFrame:
-    """``(id_col, fp, component_id, n_links)`` for every row of ``docs``.
-
-    ``component_id`` is the smallest id reachable over links, itself included (null
-    ids are passed over); ``n_links`` counts the other fingerprints linked to the
-    row's own. Rows of equal fingerprint share a class; a repeated row gets a row
-    each; an empty table gives an empty result; other columns are not read.
-    """
-    scratch = Scratch(docs.sparkSession, "simhash")
+def _classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shingle: int, max_dist: int) -> DataFrame:
+    """``(id_col, key, fp, component_id, n_links)`` for every row."""
     rows = scratch.keep(fingerprints(docs, text_col, id_col, shingle), "fingerprints")
     own = scratch.keep(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
     links = scratch.keep(hamming_links(own.select("fp"), scratch, max_dist), "links")
@@ -147,26 +146,41 @@ def near_duplicates(
         "fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     classes = scratch.keep(classes, "classes")  # a join of two plain tables: a fingerprint of very many rows can be split
-    return rows.join(classes, "fp").select(id_col, "fp", "component_id", "n_links")
+    return rows.join(classes, "fp").select(id_col, "key", "fp", "component_id", "n_links")
+
 
+def near_duplicates(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, max_dist: int = 2
+) -> DataFrame:
+    """``(id_col, fp, component_id, n_links)`` for every row of ``docs``.
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    ``component_id`` is the smallest id reachable over links, itself included (null
+    ids are passed over); ``n_links`` counts the other fingerprints linked to the
+    row's own. Rows of equal fingerprint share a class; a repeated row gets a row
+    each; an empty table gives an empty result; other columns are not read.
+    """
+    return _classes(docs, Scratch(docs.sparkSession, "simhash"), text_col, id_col, shingle, max_dist).drop("key")
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, max_dist: int = 2) -> DataFrame:
     """The rows of ``docs`` that stay when each class of near-duplicates keeps its smallest id.
 
-    Rows without an id pass through; of repeated rows of a kept id one stays.
+    Rows without an id pass through; of repeated rows of a kept id and text one
+    stays. The rows to drop are looked up, so that while they are few the documents
+    themselves are not shuffled.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    classes = near_duplicates(docs, text_col, id_col, **how)
-    kept = scratch.keep(
-        classes.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")), "kept"
-    )
-    once = docs.join(kept.where("__n = 1").select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    out = once.union(docs.where(F.col(id_col).isNull()))
-    again = kept.where("__n > 1")
+    rows = _classes(docs, scratch, text_col, id_col, shingle, max_dist).where(F.col(id_col).isNotNull())
+    # of a class: its least id; of rows with that id: one
+    per = rows.groupBy(F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__n"))
+    per = per.where("__c <> __id or __n > 1").select("__id", "__key", F.when(F.col("__c") == F.col("__id"), F.col("__n")).otherwise(0).alias("__n"))
+    per = scratch.keep(per, "not-once")
+    n_drop = per.count()
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("__key"))
+    out = docs.join(_sent(per, n_drop), on, "left_anti")
+    again = per.where("__n > 1")
     if is_empty(again):
         return out
-    from pyspark.sql import Window
-
-    more = docs.join(again.select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    more = more.withColumn("__rn", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))))
-    return out.union(more.where("__rn = 1").drop("__rn"))
+    more = docs.join(_sent(again, n_drop), on, "left_semi")
+    first = Window.partitionBy(id_col, F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.lit(0))
+    return out.union(more.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn"))
