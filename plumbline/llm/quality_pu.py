@@ -159,8 +159,8 @@ def _prior(model: Model, pos: DataFrame, unl: DataFrame, n_pos: int, n_unl: int)
     p = np.cumsum((_totals(pos, above) / n_pos)[::-1])
     u = np.cumsum((_totals(unl, above) / n_unl)[::-1])
     # one standard deviation of either share is allowed for
-    slack = math.sqrt(0.25 / n_pos) + math.sqrt(0.25 / n_unl)
-    ratios = [(u[i] + slack) / (p[i] - slack) for i in range(PRIOR_CUTS) if p[i] - slack > PRIOR_TAIL]
+    off = lambda q, n: math.sqrt(max(0.0, q * (1 - q)) / n) + 1 / n
+    ratios = [(u[i] + off(u[i], n_unl)) / (p[i] - off(p[i], n_pos)) for i in range(PRIOR_CUTS) if p[i] - off(p[i], n_pos) > PRIOR_TAIL]
     return float(min(0.99, max(0.01, min(ratios, default=0.5))))
 
 
