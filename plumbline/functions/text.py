@@ -91,7 +91,8 @@ def canonical_text(x: Column) -> Column:
     rest stand there as nulls.
     """
     plain = F.regexp_replace(F.lower(F.regexp_replace(x, "[ßẞ]", "ss")), "[^0-9a-z]+", "")
-    hard = x.rlike(_special())
+    # the long class is tried only where a character lies beyond ASCII and the plain accented letters
+    hard = F.when(x.rlike(r"[^\x00-\x7F\xC0-\xFF]"), x.rlike(_special())).otherwise(F.lit(False))
     return F.when(hard, _fold_udf(F.when(hard, x))).otherwise(plain)
 
 
