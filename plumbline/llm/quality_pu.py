@@ -210,4 +210,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
     rows = scratch.keep(vectors(docs, text_col, (id_col,)), "vectors")
     model = train(rows, trusted(labels, id_col), id_col)
     again = vectors(docs.select(F.struct("*").alias("__row"), F.col(text_col)), text_col, ("__row",))
-    return again.where(model.score(F.col("x")) >= threshold).select("__row.*")
+    # settled, so that the features are not computed anew wherever the condition names them
+    return settle(again, __x=F.col("x")).where(model.score(F.col("__x")) >= threshold).select("__row.*")
