@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints of five-word shingles link at 2 bits or fewer."""
-    return simhash.keep_one(docs, shingle=5, max_dist=2)
+    """One document of each group whose SimHash fingerprints of three-word shingles link at 2 bits or fewer, as the contract of op1 has it."""
+    return simhash.keep_one(docs, shingle=3, max_dist=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_stages(spark, folder):
     single = stage["SimHash near-dedup"](spark, good, folder)
     assert single.columns == docs.columns
     text = {r.doc_id: r.text for r in good.collect()}
-    fps = sorted((i, fingerprint(t.encode(), 5)) for i, t in text.items())
+    fps = sorted((i, fingerprint(t.encode(), 3)) for i, t in text.items())
     want = {i for i, f in fps if not any(j < i and bin(f ^ g).count("1") <= 2 for j, g in fps)}
     assert ids(single) == want and not any(600 <= i < 700 for i in want)
     clean = stage["benchmark decontamination"](spark, single, folder)
