@@ -104,6 +104,14 @@ SELECT * FROM (VALUES ('demo', 'invoice_number', 'INV-2026-0041', 'extracted', 1
   ('demo', 'supplier_name', 'ACME INSTRUMENTS PVT LTD', 'extracted', 1.0, 1.0), ('demo', 'supplier_phone', '+91 80 4123 9900', 'extracted', 1.0, 1.0),
   ('demo', 'total_amount', '1,24,500.00', 'extracted', 1.0, 1.0), ('demo', 'currency', NULL, 'abstained', 0.5889, 1.0), ('demo', 'purchase_order', NULL, 'abstained', 0.1992, 0.5))
   AS t(document_id, field, value, status, confidence, agreement)""",
+    "golden_ablation": """
+SELECT 35::BIGINT AS fields, 32::BIGINT AS answered, 0.9143::DOUBLE AS coverage, 1.0::DOUBLE AS precision, 0.0::DOUBLE AS hallucination_rate, 1.0::DOUBLE AS abstention_precision,
+  0.0::DOUBLE AS mean_cer, 0.9143::DOUBLE AS field_accuracy, 1.0::DOUBLE AS abstention_precision_strict, p::INT AS passes FROM (VALUES (1), (2)) AS t(p)""",
+    "schema_prompts": """
+SELECT * FROM (VALUES
+  ('invoice', '- invoice_number (string) (required)' || chr(10) || '- invoice_date (date) (required)' || chr(10) || '- supplier_name (string) (required)' || chr(10) || '- supplier_phone (phone)' || chr(10) || '- total_amount (currency) (required)' || chr(10) || '- currency (string)' || chr(10) || '- purchase_order (string)', 7::INT),
+  ('rulebook', '- game_name (string) (required)' || chr(10) || '- player_count (string) (required)' || chr(10) || '- board_size (string) (required)' || chr(10) || '- victory_condition (text) (required)' || chr(10) || '- turn_order (text)' || chr(10) || '- version (version)', 6))
+  AS t(schema_name, description, n_properties)""",
     "schema_catalog": "SELECT * FROM (VALUES ('invoice', 'Invoice', 7::BIGINT), ('rulebook', 'Rulebook', 6)) AS t(schema_name, title, n_fields)",
     "schema_names": "SELECT DISTINCT schema_name FROM (SELECT p_brand AS schema_name FROM part UNION ALL SELECT 'invoice' UNION ALL SELECT 'rulebook')",
     "grounding_exact": """
@@ -194,3 +202,12 @@ SELECT s_suppkey AS k, round(1.99::DOUBLE / 3600.0 * (s_suppkey * 10 / 1400.0::D
     "self_check": "SELECT CAST(20 * count(*) AS BIGINT) AS points, count(*) AS images FROM customer",
     "stream_day_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
+
+ORACLES["eval_reports"] = f"""
+WITH m AS ({_sweep() + _metrics("abstain_below", "z")}),
+u AS (SELECT count(*) FILTER (WHERE o_orderkey % 17 <> 0) AS documents, CAST(coalesce(sum(o_orderkey % 1000) FILTER (WHERE o_orderkey % 17 <> 0), 0) AS BIGINT) AS tokens FROM orders),
+r AS (SELECT m.*, tokens, round(1.99 / 3600.0 * (tokens / 1400.0) / documents * 1000, 6) AS per_1k, printf('v3 | 2p | t=%.2f', abstain_below) AS label FROM m, u)
+SELECT 0 AS ord, '| configuration | coverage | precision | hallucination | abstention precision | mean CER | tokens | $/1k docs |' AS line
+UNION ALL SELECT 1, '|---|' || repeat('---:|', 7)
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY label) + 1 AS INT), '| ' || label || ' | ' || printf('%.1f%% | %.1f%% | %.1f%% | %.1f%% | %.3f', coverage * 100, precision * 100, hallucination_rate * 100, abstention_precision * 100, mean_cer)
+  || ' | ' || format('{{:,}}', tokens) || ' | $' || printf('%.2f', per_1k) || ' |' FROM r"""
