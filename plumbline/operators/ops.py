@@ -39,17 +39,32 @@ def histogram(rows: DataFrame, value: str, *by: str, edges=REQUEST_EDGES) -> Dat
     return counts.select(*by, F.explode(pairs).alias("b")).select(*by, "b.le", "b.n")
 
 
+RANK_BINS = 4096
+
+
 def nearest_ranks(rows: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
     """Percentiles by nearest rank (half-even, no interpolation), by group.
 
-    Ranks come from one sort of each group's distinct values with their counts, not
-    from a list of the group's values, so a group may be of any size.
+    A group may be of any size: its values are counted in RANK_BINS bins of equal
+    width, the bins that hold the wanted ranks are found from the counts, and only
+    the values of those bins are ranked, by counts of distinct values.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumn("__n", F.sum("__c").over(w)).withColumn("__upto", F.sum("__c").over(w.orderBy("__v")))
-    at = lambda f: F.least(F.col("__n") - 1, F.rint(f * (F.col("__n") - 1)).cast("long"))
-    return counts.groupBy(*by).agg(*(F.min(F.when(F.col("__upto") > at(f), F.col("__v"))).alias(name) for name, f in fractions.items()))
+    v = rows.where(F.col(value).isNotNull()).select(F.struct(F.lit(0), *by).alias("__g"), F.col(value).alias("__v"))
+    span = v.groupBy("__g").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__n"))
+    width = F.nullif(F.col("__hi").cast("double") - F.col("__lo"), F.lit(0.0))
+    place = F.floor((F.col("__v").cast("double") - F.col("__lo")) / width * RANK_BINS)
+    b = v.join(span, "__g").withColumn("__bin", F.coalesce(F.least(F.lit(RANK_BINS - 1), place), F.lit(0)).cast("int"))
+    w = Window.partitionBy("__g").orderBy("__bin")
+    bins = b.groupBy("__g", "__bin").agg(F.count("*").alias("__c"), F.max("__n").alias("__n")).withColumn("__upto", F.sum("__c").over(w))
+    rank = lambda f: F.least(F.col("__n") - 1, F.rint(f * (F.col("__n") - 1)).cast("long"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank(f).alias("rank")) for name, f in fractions.items()))).alias("w")
+    picks = bins.select("__g", "__bin", "__c", "__upto", wanted).where("w.rank < __upto and w.rank >= __upto - __c")
+    picks = picks.select("__g", "__bin", F.col("w.name").alias("__name"), (F.col("w.rank") - F.col("__upto") + F.col("__c")).alias("__at"))
+    values = b.select("__g", "__bin", "__v").join(picks, ["__g", "__bin"]).groupBy("__g", "__name", "__v").agg(F.count("*").alias("__c"), F.max("__at").alias("__at"))
+    upto = F.sum("__c").over(Window.partitionBy("__g", "__name").orderBy("__v"))
+    found = values.withColumn("__upto", upto).where("__upto > __at").groupBy("__g", "__name").agg(F.min("__v").alias("__v"))
+    one = lambda name: F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name)
+    return found.groupBy("__g").agg(*map(one, fractions)).select(*(F.col(f"__g.{c}").alias(c) for c in by), *fractions)
 
 
 def bench_summary(runs: DataFrame, wall_seconds: float, hourly_rate: float) -> DataFrame:
