@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -44,13 +46,17 @@ def qualified(spark: SparkSession, path: str) -> str:
 class Scratch:
     """Tables written to the shared folder; reading one back cuts the lineage.
 
-    A lost executor costs only the tasks it held: the written tables stay.
+    A lost executor costs only the tasks it held: the written tables stay. Results
+    read them lazily, so they are deleted when the driver ends, or by ``drop_all``.
     """
 
+    _roots: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        Scratch._roots.append((spark, self.root))
 
     def path(self, label: str) -> str:
         self._n += 1
@@ -69,9 +75,20 @@ class Scratch:
         """Delete a table that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+@atexit.register
+def drop_all() -> None:
+    """Deletes all tables written so far; results that still read them are lost."""
+    while Scratch._roots:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(*Scratch._roots.pop())
 
 
 def let(value: Column, body) -> Column:
