@@ -112,6 +112,10 @@ SELECT * FROM (VALUES
   ('invoice', '- invoice_number (string) (required)' || chr(10) || '- invoice_date (date) (required)' || chr(10) || '- supplier_name (string) (required)' || chr(10) || '- supplier_phone (phone)' || chr(10) || '- total_amount (currency) (required)' || chr(10) || '- currency (string)' || chr(10) || '- purchase_order (string)', 7::INT),
   ('rulebook', '- game_name (string) (required)' || chr(10) || '- player_count (string) (required)' || chr(10) || '- board_size (string) (required)' || chr(10) || '- victory_condition (text) (required)' || chr(10) || '- turn_order (text)' || chr(10) || '- version (version)', 6))
   AS t(schema_name, description, n_properties)""",
+    "readiness": "SELECT bool_and(event_type <> 'error') AS ready, 'all' AS which FROM events UNION ALL SELECT TRUE, 'up'",
+    "case_field_types": """
+SELECT 'invoice' AS schema_name, * FROM (VALUES ('invoice_number', 'string'), ('invoice_date', 'date'), ('supplier_name', 'string'), ('supplier_phone', 'phone'),
+  ('total_amount', 'currency'), ('currency', 'string'), ('purchase_order', 'string')) AS t(field, kind)""",
     "schema_catalog": "SELECT * FROM (VALUES ('invoice', 'Invoice', 7::BIGINT), ('rulebook', 'Rulebook', 6)) AS t(schema_name, title, n_fields)",
     "schema_names": "SELECT DISTINCT schema_name FROM (SELECT p_brand AS schema_name FROM part UNION ALL SELECT 'invoice' UNION ALL SELECT 'rulebook')",
     "grounding_exact": """

@@ -287,12 +287,23 @@ def golden_ablation(spark, d=None):
     return out
 
 
+def readiness(spark, d):
+    """Whether all checks are well, and whether those without the errors are."""
+    checks = table(spark, d, "events").select(F.when(F.col("event_type") == "error", "down").otherwise(F.concat(F.lit("ok "), F.col("event_type"))).alias("outcome"))
+    return ops.ready(checks).withColumn("which", F.lit("all")).union(ops.ready(checks.where("outcome <> 'down'")).withColumn("which", F.lit("up")))
+
+
+def case_field_types(spark, d):
+    cases = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "invoice").otherwise("unknown").alias("schema_name"))
+    return catalog.field_types(_fields(spark), cases)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         norm_number, norm_date, norm_misc, canonical_docs, consensus_vote, score_fields, demo_document, golden_ablation, schema_catalog, schema_names, schema_prompts,
         grounding_exact, grounding_fuzzy, cer_parts, eval_metrics, eval_grid, eval_reports, document_summary, field_counters, request_counters,
         latency_histogram, latency_percentiles, bench_summary, text_vote, char_vote, kind_vote, prefix_verdicts, box_measures, box_union, parse_props,
-        parse_replies, envelopes, breaker_states, retry_attempts, request_checks, pass_usage, image_sizes, small_measures, self_check, stream_day_counts,
+        parse_replies, envelopes, breaker_states, retry_attempts, request_checks, pass_usage, image_sizes, small_measures, self_check, stream_day_counts, readiness, case_field_types,
     )
 }

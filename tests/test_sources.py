@@ -135,4 +135,6 @@ def test_progressive_verdicts(spark, tmp_path):
 def test_budgets_and_flagship(spark):
     v = spark.createDataFrame([("i", 0.0, 15.0), ("i", 10.0, 15.0), ("i", 23.0, 1.5)], "image_id string, started_s double, latency_s double")
     assert [r.latency_s for r in live.within_budget(v).collect()] == [15.0, 1.5]
+    r = spark.createDataFrame([("i", 0, 10.0, False, 0), ("i", 1, 10.0, True, 0), ("i", 2, 20.0, False, 0), ("i", 3, 5.0, False, 1)], "image_id string, view_ord int, ended_s double, ok boolean, attempt int")
+    assert [x.view_ord for x in live.retries(r).collect()] == [0]
     assert queries.score_fields(spark, "/root/testdata/sf0.001").count() == 7500
