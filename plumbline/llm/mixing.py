@@ -14,7 +14,8 @@ given the whole number of copies that brings the words taken nearest to the word
 its rates ask for so far; so a source ends within about half its smallest document
 of the target, unless the cap binds. Within a class the copies go round evenly, and
 the odd ones to the documents of least hash. Ranks within a class are counted in
-hash buckets, so that no task needs a whole class.
+hash buckets, as many as the root of its size, so that no task needs a whole class:
+neither the buckets of a class nor the documents of a bucket are many.
 
 Nulls: a null text has size 0, a null source is a source of its own, the last by
 order. Documents of size 0 take no words and get one copy. Repeated rows are documents of their own.
@@ -31,9 +32,6 @@ from plumbline.llm.common import BROADCAST_ROWS, WORD, Scratch
 MAX_STEPS = 60
 #: A source is solved when its words differ from the target by this share at most.
 TOLERANCE = 1e-9
-#: Documents of one class and hash bucket, about.
-PER_BUCKET = 1000
-_LOG_CAP_LIMIT = 60.0
 
 
 def word_count(text: Column) -> Column:
@@ -177,7 +175,7 @@ def copies(docs: DataFrame, targets: DataFrame, size: Column, source_col: str =
     c = scratch.keep(_whole_copies(c, cap), "copies")
 
     # ranks in a class, by hash bucket, for the classes whose copies don't divide evenly
-    bucket = F.when(F.col("odd") > 0, F.pmod(F.col("h"), F.ceil(F.col("n") / PER_BUCKET)))
+    bucket = F.when(F.col("odd") > 0, F.pmod(F.col("h"), F.ceil(F.sqrt(F.col("n")))))
     small = F.broadcast(c) if _few(c) else c
     r = rows.alias("r").join(small.alias("c"), F.expr("r.source <=> c.source and r.size = c.size"))
     r = r.select("doc", "r.source", "r.size", "h", "key", "rate", "each", "odd", "n", bucket.alias("bucket"))
