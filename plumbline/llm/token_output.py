@@ -41,7 +41,7 @@ SEQ_LEN = 2048
 #: Sequences in a batch.
 BATCH = 64
 #: Words that the table of encoded words holds at most between batches.
-WORDS = 800_000
+WORDS = 700_000
 _DOCS_IN_BATCH = 4096
 #: Documents encoded at a time.
 ENCODED = 512
@@ -244,7 +244,13 @@ def write(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id: int, text_
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [writer.name], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]})
 
     manifest = rows.mapInArrow(run, "part int, name string, n_docs bigint, n_tokens bigint")
-    return Scratch(spark, "token-manifest").keep(manifest, "manifest")
+    # whole texts come in small Arrow batches: both sides hold one at a time
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ENCODED))
+    try:
+        return Scratch(spark, "token-manifest").keep(manifest, "manifest")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
