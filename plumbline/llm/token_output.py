@@ -41,7 +41,7 @@ SEQ_LEN = 2048
 #: Sequences in a batch.
 BATCH = 64
 #: Words that the table of encoded words holds at most between batches.
-WORDS = 700_000
+WORDS = 300_000
 _DOCS_IN_BATCH = 4096
 #: Documents encoded at a time.
 ENCODED = 512
