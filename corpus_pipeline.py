@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, mixing, quality_pu, simhash, token_output
+from plumbline.llm import decontaminate, mixing, near_copies, quality_pu, token_output
 from plumbline.llm.common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHash fingerprints of three-word shingles link at 2 bits or fewer, as the contract of op1 has it."""
-    return simhash.keep_one(docs, shingle=3, max_dist=2)
+    """One document of each group of near copies: five-word shingles of Jaccard similarity 0.8 or more, or SimHash fingerprints that link as in op1."""
+    return near_copies.keep_one(docs, shingle=3, max_dist=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

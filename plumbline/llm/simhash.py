@@ -170,7 +170,12 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     themselves are not shuffled.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
-    rows = _classes(docs, scratch, text_col, id_col, shingle, max_dist).where(F.col(id_col).isNotNull())
+    return keep_least(docs, _classes(docs, scratch, text_col, id_col, shingle, max_dist), scratch, text_col, id_col)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: str, id_col: str) -> DataFrame:
+    """``keep_one`` by the classes ``rows(id_col, key, component_id)``."""
+    rows = rows.where(F.col(id_col).isNotNull())
     # of a class: its least id; of rows with that id: one
     per = rows.groupBy(F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__n"))
     per = per.where("__c <> __id or __n > 1").select("__id", "__key", F.when(F.col("__c") == F.col("__id"), F.col("__n")).otherwise(0).alias("__n"))
