@@ -1,19 +1,22 @@
 """Stupid-backoff scores of documents by a bigram model of the corpus.
 
-Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. The
-vocabulary is every word with at least N / 2**VOCAB_BITS of the corpus's N words, so
-it has at most 2**VOCAB_BITS words at any size; all others are one unknown word.
-Bigrams are counted over all documents into a table spread by hash, and
+Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Every word
+of the corpus's N is in the vocabulary. Words and bigrams are counted over all
+documents into a table spread by 64-bit hash keys, and
 
     S(w | v) = c(v w) / c(v)              if c(v w) >= MIN_COUNT
              = BACKOFF * c(w) / N         otherwise
 
 with S(w) = c(w) / N for a first word. A document's score is the mean of log S.
 
-The exploded bigrams of the documents meet the counts in a join and are summed per
-document. Bigrams with at least 2**-VOCAB_BITS of all are at most 2**VOCAB_BITS as
-well: those few are sent to every task and summed there, so that no common pair of
-words crosses the shuffle row by row; each of the rest is too rare to crowd a task.
+Each word has the value log c(w) / N, and each bigram of MIN_COUNT what it gains over
+backing off, before the documents come; their words and bigrams, added up by document,
+meet the values in one join.
+N-grams with at least 2**-HOT_BITS of all are at most 2**HOT_BITS of each order:
+those are sent to every task, so that no common one crosses the shuffle row by row;
+each of the rest is too rare to crowd a task. Nothing else is gathered.
+
+With ``vocab_bits`` words under N / 2**vocab_bits are one unknown word instead.
 
 Nulls: a null text is an empty one; a text without words has score null. Repeated
 rows get a row each; an empty table gives an empty result.
@@ -27,12 +30,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch
 
-VOCAB_BITS = 20
+HOT_BITS = 18
 BACKOFF = 0.4
 MIN_COUNT = 2
 _SHIFT = 21
@@ -79,8 +83,144 @@ def _ids(table: dict, words: list[bytes], unknown: int) -> np.ndarray:
     return np.array([get(w, unknown) for w in words], dtype=np.int64)
 
 
-def scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab_bits: int = VOCAB_BITS, min_count: int = MIN_COUNT) -> DataFrame:
-    """``(id_col, n_words, score)`` for every row."""
+def _mix(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The 64-bit key of a pair of word keys."""
+    x = v * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keys(text) -> np.ndarray:
+    words = _words(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def _long(a: np.ndarray):
+    return pa.array(a.view(np.int64))
+
+
+def _count(batches):
+    """``(v, w, n)`` of pairs and, with no w, words; counted by blocks and in order of v, which packs well."""
+    names = ["v", "w", "n"]
+
+    def out(held):
+        key, c = np.unique(np.concatenate(held), return_counts=True)
+        yield pa.RecordBatch.from_arrays([_long(key), pa.nulls(len(key), pa.int64()), pa.array(c.astype(np.int64))], names=names)
+        v = np.concatenate([k[:-1] for k in held])
+        w = np.concatenate([k[1:] for k in held])
+        _, at, c = np.unique(_mix(v, w), return_index=True, return_counts=True)
+        order = np.argsort(v[at])
+        yield pa.RecordBatch.from_arrays([_long(v[at][order]), _long(w[at][order]), pa.array(c[order].astype(np.int64))], names=names)
+
+    held, n = [], 0
+    for batch in batches:
+        for t in batch.column(0):
+            k = _keys(t)
+            if len(k):
+                held.append(k)
+                n += len(k)
+            if n > _BLOCK:
+                yield from out(held)
+                held, n = [], 0
+    if held:
+        yield from out(held)
+
+
+def _keyed(batches):
+    for b in batches:
+        v, w = (b.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
+        key = np.where(b.column(1).is_null().to_numpy(zero_copy_only=False), v, _mix(v, w))
+        yield pa.RecordBatch.from_arrays([_long(key), b.column(2), b.column(3)], names=["key", "n", "value"])
+
+
+def _values(texts: DataFrame, scratch: Scratch, min_count: int) -> tuple[DataFrame, int]:
+    """``(key, n, value)`` and the corpus's number of words.
+
+    A word's value is log c(w) / N; a pair's, if it has ``min_count``, what its log
+    score has over that of backing off. Other pairs back off and have no row.
+    """
+    grams = texts.mapInArrow(_count, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
+    grams = scratch.keep(grams.where((F.col("n") >= min_count) | F.col("w").isNull()), "grams")
+    words = grams.where("w is null")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    log_n = math.log(max(total, 1))
+
+    def counted(pairs, side):
+        counts = words.select(F.col("v").alias(side), F.col("n").alias(f"c_{side}"))
+        frequent = F.col(f"c_{side}") >= _least(total)
+        near = pairs.join(F.broadcast(counts.where(frequent)), side, "left")
+        rare = near.where(F.col(f"c_{side}").isNull()).drop(f"c_{side}").join(counts.where(~frequent), side)
+        return near.where(F.col(f"c_{side}").isNotNull()).unionByName(rare)
+
+    pairs = counted(counted(grams.where("w is not null"), "v"), "w")
+    gain = F.log("n") - F.log("c_v") - F.log("c_w") + (log_n - math.log(BACKOFF))
+    both = words.select("v", "w", "n", (F.log("n") - log_n).alias("value")).union(pairs.select("v", "w", "n", gain))
+    values = scratch.keep(both.mapInArrow(_keyed, "key bigint, n bigint, value double"), "values")
+    scratch.drop(grams)
+    return values, total
+
+
+def _least(total: int) -> int:
+    """Count of a frequent n-gram; at most 2**HOT_BITS words and as many pairs reach it."""
+    return max(1, math.ceil(total / 2**HOT_BITS))
+
+
+def scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab_bits: int | None = None, min_count: int = MIN_COUNT) -> DataFrame:
+    """``(id_col, n_words, score)`` for every row; ``vocab_bits`` bounds the vocabulary, None keeps every word."""
+    if vocab_bits is not None:
+        return _bounded_scores(docs, text_col, id_col, vocab_bits, min_count)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    values, total = _values(docs.select(F.col(text_col).cast("string")), scratch, min_count)
+    common = values.where(F.col("n") >= _least(total)).select("key", "value").toArrow()  # at most 2 * 2**HOT_BITS rows
+    key, value = common["key"].to_numpy().view(np.uint64), common["value"].to_numpy()
+    order = np.argsort(key, kind="stable")
+    hot = spark.sparkContext.broadcast((key[order], value[order]))
+
+    def score(batches):
+        hot_key, hot_value = hot.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                keys, cnts, rows, docs_, base = [], [], [], [], []
+                for row, t in zip(some.column(1).to_pylist(), some.column(2), strict=True):
+                    ids = _keys(t)
+                    sure = 0.0
+                    if len(ids):
+                        k, c = np.unique(np.concatenate([ids, _mix(ids[:-1], ids[1:])]), return_counts=True)
+                        at = np.searchsorted(hot_key, k)
+                        at[at == len(hot_key)] = 0
+                        known = hot_key[at] == k if len(hot_key) else np.zeros(len(k), dtype=bool)
+                        sure = float((c[known] * hot_value[at[known]]).sum()) + (len(ids) - 1) * math.log(BACKOFF)
+                        keys.append(k[~known])
+                        cnts.append(c[~known])
+                        rows.append(np.full(len(keys[-1]), row))
+                    docs_.append(len(ids))
+                    base.append(sure)
+                # a row of its own for each document, told by its n_words; its key only spreads it
+                own = some.column(1).to_numpy()
+                m = sum(map(len, keys))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        _long(np.concatenate([*keys, _mix(own.astype(np.uint64), own.astype(np.uint64))])), pa.array(np.concatenate([*cnts, np.zeros(len(own), np.int64)]).astype(np.int32)), pa.array(np.concatenate([*rows, own])),
+                        pa.concat_arrays([pa.nulls(m, some.schema.field(0).type), some.column(0)]),
+                        pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(docs_, pa.int64())]),
+                        pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(base, pa.float64())]),
+                    ],
+                    names=["key", "c", "row", "id", "n_words", "base"],
+                )
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(score, f"key bigint, c int, row bigint, id {id_type}, n_words bigint, base double")
+    joined = rows.join(values.where(F.col("n") < _least(total)).select("key", "value"), "key", "left")
+    joined = joined.select("row", "id", "n_words", F.when(F.col("n_words").isNull(), F.col("c") * F.col("value")).otherwise(F.col("base")).alias("v"))  # no value: a pair that backs off
+    out = joined.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_words").alias("n_words"), F.sum("v").alias("v"))
+    return out.select(id_col, "n_words", F.when(F.col("n_words") > 0, F.round(F.col("v") / F.col("n_words"), 6)).alias("score"))
+
+
+def _bounded_scores(docs: DataFrame, text_col: str, id_col: str, vocab_bits: int, min_count: int) -> DataFrame:
+    """``scores`` with words under N / 2**vocab_bits as one unknown word."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
     texts = docs.select(F.col(text_col).cast("string").alias("text"))

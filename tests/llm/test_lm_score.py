@@ -45,3 +45,19 @@ def test_matches_plain_version(spark, bits):
         if i % 50:
             assert by_id[i].n_words == n and (s is None) == (by_id[i].score is None)
     assert lm_score.scores(df.where(F.lit(False))).count() == 0
+
+
+def test_every_word_is_kept_by_default(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "HOT_BITS", 6)
+    rng = random.Random(4)
+    common = [" ".join(rng.choice(["the", "of", "and", "to"]) for _ in range(9000)) for _ in range(120)]
+    rare = [" ".join(f"r{rng.randrange(10**6)}" for _ in range(40)) for _ in range(40)]
+    texts = [None, "", "one", *common, *rare, rare[0], "the r1 of"]
+    assert sum(len((t or "").split()) for t in texts) > 2**20
+    df = spark.createDataFrame([(i, t, "", "", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in lm_score.scores(df).collect()}
+    want = plain(texts, 60)
+    for i, (n, s) in enumerate(want):
+        assert got[i].n_words == n and got[i].score == (None if s is None else pytest.approx(s, abs=2e-6))
+    assert abs(want[150][1] - plain(texts, 20)[150][1]) > 0.1
+    assert lm_score.scores(df.where(F.lit(False))).count() == 0
