@@ -1,311 +1,203 @@
-"""Stupid-backoff scores of documents by a bigram model of the corpus.
-
-Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Every word
-of the corpus's N is in the vocabulary. Words and bigrams are counted over all
-documents into a table spread by 64-bit hash keys, and
-
-    S(w | v) = c(v w) / c(v)              if c(v w) >= MIN_COUNT
-             = BACKOFF * c(w) / N         otherwise
-
-with S(w) = c(w) / N for a first word. A document's score is the mean of log S.
-
-Each word has the value log c(w) / N, and each bigram of MIN_COUNT what it gains over
-backing off, before the documents come; their words and bigrams, added up by document,
-meet the values in one join.
-N-grams with at least 2**-HOT_BITS of all are at most 2**HOT_BITS of each order:
-those are sent to every task, so that no common one crosses the shuffle row by row;
-each of the rest is too rare to crowd a task. Nothing else is gathered.
-
-With ``vocab_bits`` words under N / 2**vocab_bits are one unknown word instead.
-
-Nulls: a null text is an empty one; a text without words has score null. Repeated
-rows get a row each; an empty table gives an empty result.
+"""Stupid-backoff scores of documents by an n-gram model of the corpus.
+
+Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. With C the
+count of an n-gram in the corpus, less those of the scored document itself where it
+is part of the corpus, a word w after the history h has
+
+    S(w | h) = C(h w) / C(h)                  if C(h w) > 0
+             = BACKOFF * S(w | h less a word) otherwise
+    S(w)     = C(w) / N                       if C(w) > 0, N being all words
+             = BACKOFF / N                    otherwise
+
+and a document's score is the mean of log S. No n-gram is dropped at any size, and
+equal texts with equal counts around them have equal scores.
+
+Documents are taken in blocks of about ``BLOCK`` words, at least one document each. A
+block's n-grams are exploded to 64-bit hash keys and counted before they leave it, so
+however common an n-gram is, it is one row a block. Those rows are dealt out by key:
+their sums are the count tables, spread by hash, and the join with the rows themselves
+brings each block the counts of its n-grams that others have too (the rest it has
+counted itself). Blocks then meet their counts, and each document adds up its own
+logs. Nothing is broadcast or gathered.
+
+Nulls: a null text is an empty one; a text without words has score null, as has one
+when no other document has a word; null and repeated ids get a row for each row.
+Texts of any length are whole, a block being one document at least. Ties have no
+effect. Other columns, whatever their names, are not read. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, repeatable
 
-HOT_BITS = 18
+ORDER = 2
 BACKOFF = 0.4
-MIN_COUNT = 2
-_SHIFT = 21
+#: Words after which a block of documents is closed.
+BLOCK = 1 << 21
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words gathered before a partial count is given out.
-_BLOCK = 2_000_000
-
-
-def _words(text) -> list[bytes]:
-    return text.as_buffer().to_pybytes().translate(_LOWER).split() if text.is_valid else []
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` over the one column of ``texts``."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                seen.update(_words(t))
-                if len(seen) > _BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-                    seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    return texts.mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class _Table:
-    """Word -> id, made once in a worker process for each model."""
-
-    _made: dict = {}
-
-    @classmethod
-    def of(cls, name, words):
-        if name not in cls._made:
-            cls._made.clear()
-            cls._made[name] = {w: i for i, w in enumerate(words.value)}
-        return cls._made[name]
-
-
-def _ids(table: dict, words: list[bytes], unknown: int) -> np.ndarray:
-    get = table.get
-    return np.array([get(w, unknown) for w in words], dtype=np.int64)
+def word_keys(text) -> np.ndarray:
+    """The 64-bit keys of an Arrow string's words."""
+    words = text.as_buffer().to_pybytes().translate(_LOWER).split() if text.is_valid else []
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _mix(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """The 64-bit key of a pair of word keys."""
+    """The 64-bit key of an n-gram from that of its beginning and its last word's."""
     x = v * np.uint64(0x9E3779B97F4A7C15) + w * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
 
 
-def _keys(text) -> np.ndarray:
-    words = _words(text)
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
-def _long(a: np.ndarray):
-    return pa.array(a.view(np.int64))
-
+class _Numbers:
+    """Deals the documents of a task to blocks; a second pass over the same rows deals them alike."""
 
-def _count(batches):
-    """``(v, w, n)`` of pairs and, with no w, words; counted by blocks and in order of v, which packs well."""
-    names = ["v", "w", "n"]
+    def __init__(self, size: int):
+        self.size, self.held = size, 0
+        self.block = TaskContext.get().partitionId() << 32
 
-    def out(held):
-        key, c = np.unique(np.concatenate(held), return_counts=True)
-        yield pa.RecordBatch.from_arrays([_long(key), pa.nulls(len(key), pa.int64()), pa.array(c.astype(np.int64))], names=names)
-        v = np.concatenate([k[:-1] for k in held])
-        w = np.concatenate([k[1:] for k in held])
-        _, at, c = np.unique(_mix(v, w), return_index=True, return_counts=True)
-        order = np.argsort(v[at])
-        yield pa.RecordBatch.from_arrays([_long(v[at][order]), _long(w[at][order]), pa.array(c[order].astype(np.int64))], names=names)
+    def next(self, n_words: int) -> int:
+        if self.held >= self.size:
+            self.block, self.held = self.block + 1, 0
+        self.held += n_words
+        return self.block
 
-    held, n = [], 0
-    for batch in batches:
-        for t in batch.column(0):
-            k = _keys(t)
-            if len(k):
-                held.append(k)
-                n += len(k)
-            if n > _BLOCK:
-                yield from out(held)
-                held, n = [], 0
-    if held:
-        yield from out(held)
 
+def _grams(keys: list[np.ndarray], order: int):
+    """For each length up to ``order``: the keys of all n-grams, and where in the joined texts each ends."""
+    words = np.concatenate(keys)
+    sizes = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    key, ends = words, np.arange(len(words))
+    yield key, ends
+    for n in range(2, order + 1):
+        inside = place[ends] < n - 1  # ends that no n-gram of this length reaches
+        before = np.empty(len(words), dtype=np.uint64)
+        before[ends] = key
+        ends = ends[~inside]
+        key = _mix(before[ends - 1], words[ends])
+        yield key, ends
 
-def _keyed(batches):
-    for b in batches:
-        v, w = (b.column(i).fill_null(0).to_numpy().view(np.uint64) for i in (0, 1))
-        key = np.where(b.column(1).is_null().to_numpy(zero_copy_only=False), v, _mix(v, w))
-        yield pa.RecordBatch.from_arrays([_long(key), b.column(2), b.column(3)], names=["key", "n", "value"])
 
+def exploded(texts: DataFrame, order: int, size: int) -> DataFrame:
+    """``(key, block, n)``: how often each n-gram of each block of the one column occurs in it."""
 
-def _values(texts: DataFrame, scratch: Scratch, min_count: int) -> tuple[DataFrame, int]:
-    """``(key, n, value)`` and the corpus's number of words.
-
-    A word's value is log c(w) / N; a pair's, if it has ``min_count``, what its log
-    score has over that of backing off. Other pairs back off and have no row.
-    """
-    grams = texts.mapInArrow(_count, "v bigint, w bigint, n bigint").groupBy("v", "w").agg(F.sum("n").alias("n"))
-    grams = scratch.keep(grams.where((F.col("n") >= min_count) | F.col("w").isNull()), "grams")
-    words = grams.where("w is null")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    log_n = math.log(max(total, 1))
-
-    def counted(pairs, side):
-        counts = words.select(F.col("v").alias(side), F.col("n").alias(f"c_{side}"))
-        frequent = F.col(f"c_{side}") >= _least(total)
-        near = pairs.join(F.broadcast(counts.where(frequent)), side, "left")
-        rare = near.where(F.col(f"c_{side}").isNull()).drop(f"c_{side}").join(counts.where(~frequent), side)
-        return near.where(F.col(f"c_{side}").isNotNull()).unionByName(rare)
-
-    pairs = counted(counted(grams.where("w is not null"), "v"), "w")
-    gain = F.log("n") - F.log("c_v") - F.log("c_w") + (log_n - math.log(BACKOFF))
-    both = words.select("v", "w", "n", (F.log("n") - log_n).alias("value")).union(pairs.select("v", "w", "n", gain))
-    values = scratch.keep(both.mapInArrow(_keyed, "key bigint, n bigint, value double"), "values")
-    scratch.drop(grams)
-    return values, total
-
-
-def _least(total: int) -> int:
-    """Count of a frequent n-gram; at most 2**HOT_BITS words and as many pairs reach it."""
-    return max(1, math.ceil(total / 2**HOT_BITS))
-
-
-def scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", vocab_bits: int | None = None, min_count: int = MIN_COUNT) -> DataFrame:
-    """``(id_col, n_words, score)`` for every row; ``vocab_bits`` bounds the vocabulary, None keeps every word."""
-    if vocab_bits is not None:
-        return _bounded_scores(docs, text_col, id_col, vocab_bits, min_count)
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    values, total = _values(docs.select(F.col(text_col).cast("string")), scratch, min_count)
-    common = values.where(F.col("n") >= _least(total)).select("key", "value").toArrow()  # at most 2 * 2**HOT_BITS rows
-    key, value = common["key"].to_numpy().view(np.uint64), common["value"].to_numpy()
-    order = np.argsort(key, kind="stable")
-    hot = spark.sparkContext.broadcast((key[order], value[order]))
-
-    def score(batches):
-        hot_key, hot_value = hot.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                keys, cnts, rows, docs_, base = [], [], [], [], []
-                for row, t in zip(some.column(1).to_pylist(), some.column(2), strict=True):
-                    ids = _keys(t)
-                    sure = 0.0
-                    if len(ids):
-                        k, c = np.unique(np.concatenate([ids, _mix(ids[:-1], ids[1:])]), return_counts=True)
-                        at = np.searchsorted(hot_key, k)
-                        at[at == len(hot_key)] = 0
-                        known = hot_key[at] == k if len(hot_key) else np.zeros(len(k), dtype=bool)
-                        sure = float((c[known] * hot_value[at[known]]).sum()) + (len(ids) - 1) * math.log(BACKOFF)
-                        keys.append(k[~known])
-                        cnts.append(c[~known])
-                        rows.append(np.full(len(keys[-1]), row))
-                    docs_.append(len(ids))
-                    base.append(sure)
-                # a row of its own for each document, told by its n_words; its key only spreads it
-                own = some.column(1).to_numpy()
-                m = sum(map(len, keys))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        _long(np.concatenate([*keys, _mix(own.astype(np.uint64), own.astype(np.uint64))])), pa.array(np.concatenate([*cnts, np.zeros(len(own), np.int64)]).astype(np.int32)), pa.array(np.concatenate([*rows, own])),
-                        pa.concat_arrays([pa.nulls(m, some.schema.field(0).type), some.column(0)]),
-                        pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(docs_, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(base, pa.float64())]),
-                    ],
-                    names=["key", "c", "row", "id", "n_words", "base"],
-                )
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(score, f"key bigint, c int, row bigint, id {id_type}, n_words bigint, base double")
-    joined = rows.join(values.where(F.col("n") < _least(total)).select("key", "value"), "key", "left")
-    joined = joined.select("row", "id", "n_words", F.when(F.col("n_words").isNull(), F.col("c") * F.col("value")).otherwise(F.col("base")).alias("v"))  # no value: a pair that backs off
-    out = joined.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_words").alias("n_words"), F.sum("v").alias("v"))
-    return out.select(id_col, "n_words", F.when(F.col("n_words") > 0, F.round(F.col("v") / F.col("n_words"), 6)).alias("score"))
-
-
-def _bounded_scores(docs: DataFrame, text_col: str, id_col: str, vocab_bits: int, min_count: int) -> DataFrame:
-    """``scores`` with words under N / 2**vocab_bits as one unknown word."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    unigrams = scratch.keep(word_counts(texts), "unigrams")
-    total = unigrams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total / 2**vocab_bits))
-    kept = unigrams.where(F.col("n") >= least).toArrow()  # at most 2**vocab_bits rows
-    kept = sorted(zip(kept["word"].to_pylist(), kept["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
-    unknown = len(kept)
-    counts = np.array([n for _, n in kept] + [max(0, total - sum(n for _, n in kept))], dtype=np.float64)
-    log_c = np.log(np.maximum(counts, 1.0))
-    log_n = math.log(max(total, 1))
-    words = spark.sparkContext.broadcast([w for w, _ in kept])
-    name = uuid.uuid4().hex
-
-    def pairs(batches):
-        table, held, n = _Table.of(name, words), [], 0
+    def run(batches):
+        dealt, held, at = _Numbers(size), [], None
 
         def out():
-            key, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(c.astype(np.int64))], names=["key", "n"])
+            for key, _ in _grams(held, order):
+                key, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), at)), pa.array(n.astype(np.int64))], names=["key", "block", "n"])
 
         for batch in batches:
             for t in batch.column(0):
-                ids = _ids(table, _words(t), unknown)
-                if len(ids) > 1:
-                    held.append((ids[:-1] << _SHIFT) | ids[1:])
-                    n += len(ids)
-                if n > _BLOCK:
-                    yield out()
-                    held, n = [], 0
+                keys = word_keys(t)
+                block = dealt.next(len(keys))
+                if block != at and held:
+                    yield from out()
+                    held = []
+                held.append(keys)
+                at = block
         if held:
-            yield out()
-
-    bigrams = texts.mapInArrow(pairs, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    bigrams = scratch.keep(bigrams.where(F.col("n") >= min_count), "bigrams")
-    common = bigrams.where(F.col("n") >= max(1, math.ceil(total / 2**vocab_bits))).toArrow()  # at most 2**vocab_bits rows
-    key, n = common["key"].to_numpy(), common["n"].to_numpy()
-    order = np.argsort(key, kind="stable")
-    hot = spark.sparkContext.broadcast((key[order], np.log(n[order].astype(np.float64))))
-    logs = spark.sparkContext.broadcast(log_c)
-
-    def score(batches):
-        table, lc = _Table.of(name, words), logs.value
-        hot_key, hot_log = hot.value
+            yield from out()
+
+    return texts.mapInArrow(run, "key bigint, block bigint, n bigint")
+
+
+def _around(key: np.ndarray, doc: np.ndarray, known: tuple[np.ndarray, np.ndarray], inside: bool) -> np.ndarray:
+    """The count of each n-gram beyond the block's, or the block's own, less that of its document."""
+    own, at, n = np.unique(key, return_inverse=True, return_counts=True)
+    total = n if inside else np.zeros_like(n)
+    if len(known[0]):
+        place = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
+        total = np.where(known[0][place] == own, known[1][place], total)
+    if not inside:
+        return total[at]
+    _, pair, times = np.unique(doc * len(own) + at, return_inverse=True, return_counts=True)
+    return total[at] - times[pair]
+
+
+def _logs(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: int, inside: bool):
+    """For each text the sum of its logs without those of N, and how many times log N is to be taken off."""
+    n_words = sum(map(len, keys))
+    doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    value, open_, less = np.zeros(n_words), np.ones(n_words, dtype=bool), np.zeros(n_words, dtype=bool)
+    counts = []
+    for key, ends in _grams(keys, order):
+        full = np.zeros(n_words, dtype=np.int64)
+        full[ends] = _around(key, doc[ends], known, inside)
+        counts.append((full, ends))
+    for n in range(order, 0, -1):
+        here, ends = counts[n - 1]
+        tried = np.zeros(n_words, dtype=bool)
+        tried[ends] = True
+        hit = open_ & tried & (here > 0)
+        if n > 1:
+            value[hit] += np.log(here[hit]) - np.log(counts[n - 2][0][np.flatnonzero(hit) - 1])
+            value[open_ & tried & ~hit] += math.log(BACKOFF)
+        else:
+            value[hit] += np.log(here[hit])
+            value[open_ & ~hit] += math.log(BACKOFF)
+            less = open_.copy()
+        open_ &= ~hit
+    add = lambda x: np.bincount(doc, weights=x, minlength=len(keys))
+    return add(value), add(less).astype(np.int64)
+
+
+def scores(docs: DataFrame, corpus: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, size: int = BLOCK) -> DataFrame:
+    """``(id_col, n_words, score)`` for every row of ``docs``, by the counts of ``corpus``.
+
+    Without a corpus the documents are it, each scored by all the others. ``order`` is
+    the longest n-gram's length.
+    """
+    if order < 1:
+        raise ValueError("order must be 1 or more")
+    scratch = Scratch(docs.sparkSession, "lm")
+    inside = corpus is None
+    docs = repeatable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), scratch)
+    own = exploded(docs.select("text"), order, size).repartition("key")
+    if inside:
+        # both sides name all columns, so that the rows are exploded and dealt out once
+        counts = own.groupBy("key").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).where("blocks > 1")
+    else:
+        counts = exploded(corpus.select(F.col(text_col).cast("string")), order, size).groupBy("key").agg(F.sum("n").alias("total"))
+    known = own.join(counts.select("key", "total"), "key").select("block", "key", "total")
+
+    def deal(batches):
+        dealt = _Numbers(size)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
-                keys, cnts, rows, docs_, base = [], [], [], [], []
-                for row, t in zip(some.column(1).to_pylist(), some.column(2), strict=True):
-                    ids = _ids(table, _words(t), unknown)
-                    sure = float(lc[ids[0]] - log_n) if len(ids) else 0.0
-                    if len(ids) > 1:
-                        k, c = np.unique((ids[:-1] << _SHIFT) | ids[1:], return_counts=True)
-                        at = np.searchsorted(hot_key, k)
-                        at[at == len(hot_key)] = 0
-                        known = hot_key[at] == k if len(hot_key) else np.zeros(len(k), dtype=bool)
-                        sure += float((c[known] * (hot_log[at[known]] - lc[k[known] >> _SHIFT])).sum())
-                        keys.append(k[~known])
-                        cnts.append(c[~known])
-                        rows.append(np.full(len(keys[-1]), row))
-                    docs_.append(len(ids))
-                    base.append(sure)
-                # a row of its own for each document, by a key that no bigram has
-                own = some.column(1).to_numpy()
-                m = sum(map(len, keys))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([*keys, -1 - own])), pa.array(np.concatenate([*cnts, np.zeros(len(own), np.int64)]).astype(np.int32)), pa.array(np.concatenate([*rows, own])),
-                        pa.concat_arrays([pa.nulls(m, some.schema.field(0).type), some.column(0)]),
-                        pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(docs_, pa.int64())]),
-                        pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(base, pa.float64())]),
-                    ],
-                    names=["key", "c", "row", "id", "n_words", "base"],
-                )
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(score, f"key bigint, c int, row bigint, id {id_type}, n_words bigint, base double")
-    joined = rows.join(bigrams, "key", "left")
-    vocab = F.broadcast(spark.createDataFrame(pa.table({"w": np.arange(len(log_c)), "log_c": log_c})))  # bounded likewise
-    seen = F.col("n").isNotNull()
-    joined = joined.withColumn("w", F.when(seen, F.shiftright("key", _SHIFT)).otherwise(F.col("key").bitwiseAND((1 << _SHIFT) - 1)))
-    value = F.when(seen, F.log("n") - F.col("log_c")).otherwise(math.log(BACKOFF) + F.col("log_c") - log_n)
-    joined = joined.join(vocab, (F.col("key") >= 0) & (joined.w == vocab.w), "left")
-    joined = joined.select("row", "id", "n_words", F.when(F.col("key") >= 0, F.col("c") * value).otherwise(F.col("base")).alias("v"))
-    out = joined.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_words").alias("n_words"), F.sum("v").alias("v"))
-    return out.select(id_col, "n_words", F.when(F.col("n_words") > 0, F.round(F.col("v") / F.col("n_words"), 6)).alias("score"))
+            blocks = [dealt.next(len(word_keys(t))) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], names=["block", "id", "text"])
+
+    def score(texts, grams):
+        if not texts.num_rows:
+            return pa.table({"id": pa.nulls(0, texts.schema.field("id").type), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "less": pa.array([], pa.int64())})
+        key, total = grams.column("key").to_numpy().view(np.uint64), grams.column("total").to_numpy()
+        by = np.argsort(key)
+        keys = [word_keys(t) for t in texts.column("text")]
+        logs, less = _logs(keys, (key[by], total[by]), order, inside)
+        return pa.table({"id": texts.column("id"), "n_words": pa.array(list(map(len, keys)), pa.int64()), "logs": logs, "less": less})
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    texts = docs.mapInArrow(deal, f"block bigint, id {id_type}, text string")
+    found = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"id {id_type}, n_words bigint, logs double, less bigint")
+    found = scratch.keep(found, "logs")
+    if inside:
+        n = found.agg(F.sum("n_words")).first()[0] or 0
+        others = F.lit(n) - F.col("n_words")
+    else:
+        others = F.lit(corpus.select(F.sum(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0)
+    mean = (F.col("logs") - F.col("less") * F.log(F.nullif(others, F.lit(0)).cast("double"))) / F.col("n_words")
+    return found.select(F.col("id").alias(id_col), "n_words", F.when(F.col("n_words") > 0, F.round(mean, 6)).alias("score"))

@@ -124,16 +124,17 @@ WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
   FROM documents),
+t AS (SELECT sum(len(words)) AS n FROM d),
 w AS (SELECT rid, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
-t AS (SELECT count(*) AS n FROM w),
-v AS (SELECT w, count(*) AS c FROM w GROUP BY w HAVING count(*) >= (SELECT greatest(1, ceil(n / 1048576.0)) FROM t)),
-u AS (SELECT rid, i, v.w AS w, v.c AS c FROM w LEFT JOIN v USING (w)),
-k AS (SELECT rid, i, w, coalesce(c, (SELECT n FROM t) - (SELECT sum(c) FROM v)) AS c,
-             lag(w) OVER o AS pw, coalesce(lag(c) OVER o, (SELECT n FROM t) - (SELECT sum(c) FROM v)) AS pc
-      FROM u WINDOW o AS (PARTITION BY rid ORDER BY i)),
-b AS (SELECT pw, w, count(*) AS c2 FROM k WHERE i > 1 GROUP BY pw, w),
-s AS (SELECT k.rid, CASE WHEN i = 1 THEN ln(k.c / (SELECT n FROM t)) WHEN c2 >= 2 THEN ln(c2 / pc) ELSE ln(0.4 * k.c / (SELECT n FROM t)) END AS x
-      FROM k LEFT JOIN b ON k.pw IS NOT DISTINCT FROM b.pw AND k.w IS NOT DISTINCT FROM b.w)
+p AS (SELECT rid, i, lag(w) OVER (PARTITION BY rid ORDER BY i) AS v, w FROM w),
+o1 AS (SELECT rid, w, count(*) AS k FROM w GROUP BY rid, w),
+c1 AS (SELECT o1.rid, o1.w, (sum(k) OVER (PARTITION BY w)) - k AS c FROM o1),
+o2 AS (SELECT rid, v, w, count(*) AS k FROM p WHERE i > 1 GROUP BY rid, v, w),
+c2 AS (SELECT rid, v, w, (sum(k) OVER (PARTITION BY v, w)) - k AS c FROM o2),
+s AS (SELECT p.rid, CASE WHEN c2.c > 0 THEN ln(c2.c / h.c)
+                         ELSE (CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END) + (CASE WHEN e.c > 0 THEN ln(e.c) ELSE ln(0.4) END) - ln(nullif((SELECT n FROM t) - len(d.words), 0)) END AS x
+      FROM p JOIN d USING (rid) JOIN c1 e ON e.rid = p.rid AND e.w = p.w
+      LEFT JOIN c1 h ON h.rid = p.rid AND h.w = p.v LEFT JOIN c2 ON c2.rid = p.rid AND c2.v = p.v AND c2.w = p.w)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, round(m, 6) AS score
 FROM d LEFT JOIN (SELECT rid, avg(x) AS m FROM s GROUP BY rid) USING (rid)
 """,
