@@ -14,11 +14,11 @@ equal texts with equal counts around them have equal scores.
 
 Documents are taken in blocks of about ``BLOCK`` words, at least one document each. A
 block's n-grams are exploded to 64-bit hash keys and counted before they leave it, so
-however common an n-gram is, it is one row a block. Those rows are dealt out by key:
-their sums are the count tables, spread by hash, and the join with the rows themselves
-brings each block the counts of its n-grams that others have too (the rest it has
-counted itself). Blocks then meet their counts, and each document adds up its own
-logs. Nothing is broadcast or gathered.
+however common an n-gram is, it is one row a block. Those rows, packed by hash bucket
+on the way, are dealt out by bucket; a window over the key is the count table and its
+join with the rows, and brings each block the counts of its n-grams that others have
+too (the rest it has counted itself). Blocks then meet their counts, and each document
+adds up its own logs. Nothing is broadcast or gathered.
 
 Nulls: a null text is an empty one; a text without words has score null, as has one
 when no other document has a word; null and repeated ids get a row for each row.
@@ -35,15 +35,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from plumbline.llm.common import Scratch, repeatable
 
 ORDER = 2
 BACKOFF = 0.4
 #: Words after which a block of documents is closed.
-BLOCK = 1 << 21
+BLOCK = 1 << 22
+#: Words of a block that are scored at a time, and bytes of text that are packed together.
+_PART = 1 << 18
+_PACK = 1 << 20
+#: Hash buckets a shuffle partition, so that partitions are nearly even.
+_SPREAD = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -91,7 +97,9 @@ def _grams(keys: list[np.ndarray], order: int):
 
 
 def exploded(texts: DataFrame, order: int, size: int) -> DataFrame:
-    """``(key, block, n)``: how often each n-gram of each block of the one column occurs in it."""
+    """``(bucket, key, block, n)``: how often each n-gram of each block of the one column occurs in it, dealt out by bucket of the key."""
+    n_buckets = np.uint64(_SPREAD * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names = ["bucket", "block", "keys", "ns"]
 
     def run(batches):
         dealt, held, at = _Numbers(size), [], None
@@ -99,7 +107,12 @@ def exploded(texts: DataFrame, order: int, size: int) -> DataFrame:
         def out():
             for key, _ in _grams(held, order):
                 key, n = np.unique(key, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), at)), pa.array(n.astype(np.int64))], names=["key", "block", "n"])
+                bucket = (key % n_buckets).astype(np.int32)
+                by = np.argsort(bucket, kind="stable")
+                ends = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by)).astype(np.int32)
+                lists = lambda a: pa.ListArray.from_arrays(pa.array(ends), pa.array(a[by]))  # noqa: E731, B023
+                found = pa.array(bucket[by][ends[:-1]])
+                yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(found), at)), lists(key.view(np.int64)), lists(n.astype(np.int32))], names=names)
 
         for batch in batches:
             for t in batch.column(0):
@@ -113,20 +126,24 @@ def exploded(texts: DataFrame, order: int, size: int) -> DataFrame:
         if held:
             yield from out()
 
-    return texts.mapInArrow(run, "key bigint, block bigint, n bigint")
+    packed = texts.mapInArrow(run, "bucket int, block bigint, keys array<bigint>, ns array<int>").repartition("bucket")
+    return packed.select("bucket", "block", F.inline(F.arrays_zip("keys", "ns"))).select("bucket", F.col("keys").alias("key"), "block", F.col("ns").cast("bigint").alias("n"))
 
 
-def _around(key: np.ndarray, doc: np.ndarray, known: tuple[np.ndarray, np.ndarray], inside: bool) -> np.ndarray:
-    """The count of each n-gram beyond the block's, or the block's own, less that of its document."""
-    own, at, n = np.unique(key, return_inverse=True, return_counts=True)
-    total = n if inside else np.zeros_like(n)
-    if len(known[0]):
-        place = np.minimum(np.searchsorted(known[0], own), len(known[0]) - 1)
-        total = np.where(known[0][place] == own, known[1][place], total)
-    if not inside:
-        return total[at]
-    _, pair, times = np.unique(doc * len(own) + at, return_inverse=True, return_counts=True)
-    return total[at] - times[pair]
+def _looked_up(key: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The count that sorted ``known`` has of each key, 0 where it has none."""
+    if not len(known[0]):
+        return np.zeros(len(key), dtype=np.int64)
+    place = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
+    return np.where(known[0][place] == key, known[1][place], 0)
+
+
+def _totals(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of all n-grams of a block: the known ones, and its own of those that no other block has."""
+    found = [np.unique(key, return_counts=True) for key, _ in _grams(keys, order)]
+    key, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
+    by = np.argsort(key)
+    return key[by], np.maximum(n[by], _looked_up(key[by], known))
 
 
 def _logs(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: int, inside: bool):
@@ -136,19 +153,24 @@ def _logs(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: i
     value, open_, less = np.zeros(n_words), np.ones(n_words, dtype=bool), np.zeros(n_words, dtype=bool)
     counts = []
     for key, ends in _grams(keys, order):
+        own, at = np.unique(key, return_inverse=True)
+        here = _looked_up(own, known)[at]
+        if inside:  # less those of the document itself
+            _, pair, times = np.unique(doc[ends] * len(own) + at, return_inverse=True, return_counts=True)
+            here -= times[pair]
         full = np.zeros(n_words, dtype=np.int64)
-        full[ends] = _around(key, doc[ends], known, inside)
+        full[ends] = here
         counts.append((full, ends))
     for n in range(order, 0, -1):
         here, ends = counts[n - 1]
         tried = np.zeros(n_words, dtype=bool)
         tried[ends] = True
         hit = open_ & tried & (here > 0)
+        value[hit] += np.log(here[hit])
         if n > 1:
-            value[hit] += np.log(here[hit]) - np.log(counts[n - 2][0][np.flatnonzero(hit) - 1])
+            value[hit] -= np.log(counts[n - 2][0][np.flatnonzero(hit) - 1])
             value[open_ & tried & ~hit] += math.log(BACKOFF)
         else:
-            value[hit] += np.log(here[hit])
             value[open_ & ~hit] += math.log(BACKOFF)
             less = open_.copy()
         open_ &= ~hit
@@ -156,6 +178,19 @@ def _logs(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: i
     return add(value), add(less).astype(np.int64)
 
 
+def _parts(keys: list[np.ndarray]):
+    """Runs of documents of about ``_PART`` words."""
+    held, n = [], 0
+    for k in keys:
+        held.append(k)
+        n += len(k)
+        if n >= _PART:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def scores(docs: DataFrame, corpus: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", order: int = ORDER, size: int = BLOCK) -> DataFrame:
     """``(id_col, n_words, score)`` for every row of ``docs``, by the counts of ``corpus``.
 
@@ -167,31 +202,48 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     inside = corpus is None
     docs = repeatable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), scratch)
-    own = exploded(docs.select("text"), order, size).repartition("key")
+    own = exploded(docs.select("text"), order, size)
+    by_key = Window.partitionBy("key", "bucket")
     if inside:
-        # both sides name all columns, so that the rows are exploded and dealt out once
-        counts = own.groupBy("key").agg(F.sum("n").alias("total"), F.count("block").alias("blocks")).where("blocks > 1")
+        known = own.withColumn("total", F.sum("n").over(by_key)).where("total > n")
     else:
-        counts = exploded(corpus.select(F.col(text_col).cast("string")), order, size).groupBy("key").agg(F.sum("n").alias("total"))
-    known = own.join(counts.select("key", "total"), "key").select("block", "key", "total")
+        counts = exploded(corpus.select(F.col(text_col).cast("string")), order, size).groupBy("bucket", "key").agg(F.sum("n").alias("total"))
+        known = own.join(counts, ["bucket", "key"])
+    known = known.select("block", "key", "total")
 
     def deal(batches):
+        """Blocks' documents, packed by Arrow into rows of about ``_PACK`` bytes of text."""
         dealt = _Numbers(size)
         for batch in batches:
             blocks = [dealt.next(len(word_keys(t))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *batch.columns], names=["block", "id", "text"])
-
-    def score(texts, grams):
-        if not texts.num_rows:
-            return pa.table({"id": pa.nulls(0, texts.schema.field("id").type), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "less": pa.array([], pa.int64())})
+            upto = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
+            cut = np.flatnonzero(np.diff(blocks) != 0) + 1
+            cut = np.union1d(cut, np.flatnonzero(np.diff(upto // _PACK) != 0) + 1)
+            for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
+                if b > a:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(batch.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([pa.array([blocks[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+    def score(packed, grams):
+        tables = [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packed.column("docs")]
+        if not tables:
+            return pa.table({"id": pa.nulls(0, id_arrow), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "less": pa.array([], pa.int64())})
+        texts = pa.concat_tables(tables)
+        keys = [word_keys(t) for t in texts.column("text")]
         key, total = grams.column("key").to_numpy().view(np.uint64), grams.column("total").to_numpy()
         by = np.argsort(key)
-        keys = [word_keys(t) for t in texts.column("text")]
-        logs, less = _logs(keys, (key[by], total[by]), order, inside)
+        counts = key[by], total[by]
+        if inside:
+            counts = _totals(keys, counts, order)
+        found = [_logs(some, counts, order, inside) for some in _parts(keys)]
+        logs, less = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"id": texts.column("id"), "n_words": pa.array(list(map(len, keys)), pa.int64()), "logs": logs, "less": less})
 
     id_type = docs.schema["id"].dataType.simpleString()
-    texts = docs.mapInArrow(deal, f"block bigint, id {id_type}, text string")
+    id_arrow = to_arrow_type(docs.schema["id"].dataType)
+    texts = docs.mapInArrow(deal, "block bigint, docs binary")
     found = texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, f"id {id_type}, n_words bigint, logs double, less bigint")
     found = scratch.keep(found, "logs")
     if inside:
