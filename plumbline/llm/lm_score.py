@@ -17,8 +17,8 @@ block's n-grams are exploded to 64-bit hash keys and counted before they leave i
 however common an n-gram is, it is one row a block. Those rows, packed by hash bucket
 on the way, are dealt out by bucket; a window over the key is the count table and its
 join with the rows, and brings each block the counts of its n-grams that others have
-too (the rest it has counted itself). Blocks then meet their counts, and each document
-adds up its own logs. Nothing is broadcast or gathered.
+too (the rest it has counted itself), by their place in the block. Blocks then meet
+their counts, and each document adds up its own logs. Nothing is broadcast or gathered.
 
 Nulls: a null text is an empty one; a text without words has score null, as has one
 when no other document has a word; null and repeated ids get a row for each row.
@@ -44,7 +44,7 @@ from plumbline.llm.common import Scratch, repeatable
 ORDER = 2
 BACKOFF = 0.4
 #: Words after which a block of documents is closed.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Words of a block that are scored at a time, and bytes of text that are packed together.
 _PART = 1 << 18
 _PACK = 1 << 20
@@ -88,76 +88,97 @@ def _grams(keys: list[np.ndarray], order: int):
     key, ends = words, np.arange(len(words))
     yield key, ends
     for n in range(2, order + 1):
-        inside = place[ends] < n - 1  # ends that no n-gram of this length reaches
         before = np.empty(len(words), dtype=np.uint64)
         before[ends] = key
-        ends = ends[~inside]
+        ends = ends[place[ends] >= n - 1]
         key = _mix(before[ends - 1], words[ends])
         yield key, ends
 
 
-def exploded(texts: DataFrame, order: int, size: int) -> DataFrame:
-    """``(bucket, key, block, n)``: how often each n-gram of each block of the one column occurs in it, dealt out by bucket of the key."""
-    n_buckets = np.uint64(_SPREAD * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    names = ["bucket", "block", "keys", "ns"]
+def _counted(keys: list[np.ndarray], order: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, bucket and count of each distinct n-gram of a block, in a fixed order, bucket by bucket."""
+    found = [np.unique(key, return_counts=True) for key, _ in _grams(keys, order)]
+    key, n = np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found])
+    bucket = (key % np.uint64(n_buckets)).astype(np.int32)
+    by = np.lexsort((key, bucket))
+    return key[by], bucket[by], n[by]
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.append(np.flatnonzero(np.diff(values, prepend=values[:1] - 1)), len(values)).astype(np.int32)
+
+
+def exploded(texts: DataFrame, order: int, size: int, n_buckets: int) -> DataFrame:
+    """``(bucket, key, block, at, n)``: how often each n-gram of each block of the one column occurs in it.
+
+    Dealt out by ``bucket`` of the key; ``at`` is the n-gram's place in its block.
+    """
 
     def run(batches):
-        dealt, held, at = _Numbers(size), [], None
+        dealt, held, block = _Numbers(size), [], None
 
         def out():
-            for key, _ in _grams(held, order):
-                key, n = np.unique(key, return_counts=True)
-                bucket = (key % n_buckets).astype(np.int32)
-                by = np.argsort(bucket, kind="stable")
-                ends = np.append(np.flatnonzero(np.diff(bucket[by], prepend=-1)), len(by)).astype(np.int32)
-                lists = lambda a: pa.ListArray.from_arrays(pa.array(ends), pa.array(a[by]))  # noqa: E731, B023
-                found = pa.array(bucket[by][ends[:-1]])
-                yield pa.RecordBatch.from_arrays([found, pa.array(np.full(len(found), at)), lists(key.view(np.int64)), lists(n.astype(np.int32))], names=names)
+            key, bucket, n = _counted(held, order, n_buckets)
+            if len(key):
+                cut = _runs(bucket)
+                lists = lambda a: pa.ListArray.from_arrays(pa.array(cut), pa.array(a))
+                columns = [pa.array(bucket[cut[:-1]]), pa.array(np.full(len(cut) - 1, block)), pa.array(cut[:-1].astype(np.int64)), lists(key.view(np.int64)), lists(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "first", "keys", "ns"])
 
         for batch in batches:
             for t in batch.column(0):
                 keys = word_keys(t)
-                block = dealt.next(len(keys))
-                if block != at and held:
+                now = dealt.next(len(keys))
+                if now != block and held:
                     yield from out()
                     held = []
                 held.append(keys)
-                at = block
+                block = now
         if held:
             yield from out()
 
-    packed = texts.mapInArrow(run, "bucket int, block bigint, keys array<bigint>, ns array<int>").repartition("bucket")
-    return packed.select("bucket", "block", F.inline(F.arrays_zip("keys", "ns"))).select("bucket", F.col("keys").alias("key"), "block", F.col("ns").cast("bigint").alias("n"))
+    packed = texts.mapInArrow(run, "bucket int, block bigint, first bigint, keys array<bigint>, ns array<int>").repartition("bucket")
+    rows = packed.select("bucket", "block", "first", F.posexplode(F.arrays_zip("keys", "ns")).alias("i", "g"))
+    return rows.select("bucket", F.col("g.keys").alias("key"), "block", (F.col("first") + F.col("i")).alias("at"), F.col("g.ns").cast("bigint").alias("n"))
 
 
-def _looked_up(key: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The count that sorted ``known`` has of each key, 0 where it has none."""
-    if not len(known[0]):
-        return np.zeros(len(key), dtype=np.int64)
-    place = np.minimum(np.searchsorted(known[0], key), len(known[0]) - 1)
-    return np.where(known[0][place] == key, known[1][place], 0)
-
+def _packed(batches):
+    """``(block, at, total)`` as lists by block."""
+    held, n = [], 0
 
-def _totals(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all n-grams of a block: the known ones, and its own of those that no other block has."""
-    found = [np.unique(key, return_counts=True) for key, _ in _grams(keys, order)]
-    key, n = np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found])
-    by = np.argsort(key)
-    return key[by], np.maximum(n[by], _looked_up(key[by], known))
+    def out():
+        block, at, total = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+        by = np.lexsort((at, block))
+        cut = _runs(block[by])
+        lists = lambda a: pa.ListArray.from_arrays(pa.array(cut), pa.array(a[by]))
+        return pa.RecordBatch.from_arrays([pa.array(block[by][cut[:-1]]), lists(at), lists(total)], names=["block", "at", "total"])
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _PACK:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
 
 
 def _logs(keys: list[np.ndarray], known: tuple[np.ndarray, np.ndarray], order: int, inside: bool):
-    """For each text the sum of its logs without those of N, and how many times log N is to be taken off."""
+    """For each text the sum of its logs without those of N, and how many times log N is to be taken off.
+
+    ``known`` has the count of every n-gram of the texts, sorted by key.
+    """
     n_words = sum(map(len, keys))
     doc = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     value, open_, less = np.zeros(n_words), np.ones(n_words, dtype=bool), np.zeros(n_words, dtype=bool)
     counts = []
     for key, ends in _grams(keys, order):
         own, at = np.unique(key, return_inverse=True)
-        here = _looked_up(own, known)[at]
+        here = known[1][np.searchsorted(known[0], own)][at]
         if inside:  # less those of the document itself
             _, pair, times = np.unique(doc[ends] * len(own) + at, return_inverse=True, return_counts=True)
-            here -= times[pair]
+            here = here - times[pair]
         full = np.zeros(n_words, dtype=np.int64)
         full[ends] = here
         counts.append((full, ends))
@@ -202,14 +223,14 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     inside = corpus is None
     docs = repeatable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), scratch)
-    own = exploded(docs.select("text"), order, size)
-    by_key = Window.partitionBy("key", "bucket")
+    n_buckets = _SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = exploded(docs.select("text"), order, size, n_buckets)
     if inside:
-        known = own.withColumn("total", F.sum("n").over(by_key)).where("total > n")
+        known = own.withColumn("total", F.sum("n").over(Window.partitionBy("key", "bucket"))).where("total > n")
     else:
-        counts = exploded(corpus.select(F.col(text_col).cast("string")), order, size).groupBy("bucket", "key").agg(F.sum("n").alias("total"))
+        counts = exploded(corpus.select(F.col(text_col).cast("string")), order, size, n_buckets).groupBy("bucket", "key").agg(F.sum("n").alias("total"))
         known = own.join(counts, ["bucket", "key"])
-    known = known.select("block", "key", "total")
+    known = known.select("block", "at", "total").mapInArrow(_packed, "block bigint, at array<bigint>, total array<bigint>")
 
     def deal(batches):
         """Blocks' documents, packed by Arrow into rows of about ``_PACK`` bytes of text."""
@@ -232,11 +253,13 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, text_col: str = "te
             return pa.table({"id": pa.nulls(0, id_arrow), "n_words": pa.array([], pa.int64()), "logs": pa.array([], pa.float64()), "less": pa.array([], pa.int64())})
         texts = pa.concat_tables(tables)
         keys = [word_keys(t) for t in texts.column("text")]
-        key, total = grams.column("key").to_numpy().view(np.uint64), grams.column("total").to_numpy()
+        key, _, total = _counted(keys, order, n_buckets)
+        if not inside:
+            total[:] = 0
+        for at, n in zip(grams.column("at").chunks, grams.column("total").chunks, strict=True):
+            total[at.flatten().to_numpy()] = n.flatten().to_numpy()
         by = np.argsort(key)
         counts = key[by], total[by]
-        if inside:
-            counts = _totals(keys, counts, order)
         found = [_logs(some, counts, order, inside) for some in _parts(keys)]
         logs, less = (np.concatenate(x) for x in zip(*found, strict=True))
         return pa.table({"id": texts.column("id"), "n_words": pa.array(list(map(len, keys)), pa.int64()), "logs": logs, "less": less})
