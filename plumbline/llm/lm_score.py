@@ -15,7 +15,7 @@ equal texts with equal counts around them have equal scores.
 Documents are taken in blocks of about ``BLOCK`` words, at least one document each. A
 block's n-grams are exploded to 64-bit hash keys and counted before they leave it, so
 however common an n-gram is, it is one row a block. Those rows, packed by hash bucket
-on the way, are dealt out by bucket; a window over the key is the count table and its
+on the way, are dealt out by bucket, one a partition; a window over the key is the count table and its
 join with the rows, and brings each block the counts of its n-grams that others have
 too (the rest it has counted itself), by their place in the block. Blocks then meet
 their counts, and each document adds up its own logs. Nothing is broadcast or gathered.
@@ -48,8 +48,6 @@ BLOCK = 1 << 21
 #: Words of a block that are scored at a time, and bytes of text that are packed together.
 _PART = 1 << 18
 _PACK = 1 << 20
-#: Hash buckets a shuffle partition, so that partitions are nearly even.
-_SPREAD = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -138,7 +136,7 @@ def exploded(texts: DataFrame, order: int, size: int, n_buckets: int) -> DataFra
         if held:
             yield from out()
 
-    packed = texts.mapInArrow(run, "bucket int, block bigint, first bigint, keys array<bigint>, ns array<int>").repartition("bucket")
+    packed = texts.mapInArrow(run, "bucket int, block bigint, first bigint, keys array<bigint>, ns array<int>").repartitionById(n_buckets, F.col("bucket"))
     rows = packed.select("bucket", "block", "first", F.posexplode(F.arrays_zip("keys", "ns")).alias("i", "g"))
     return rows.select("bucket", F.col("g.keys").alias("key"), "block", (F.col("first") + F.col("i")).alias("at"), F.col("g.ns").cast("bigint").alias("n"))
 
@@ -223,7 +221,7 @@ def scores(docs: DataFrame, corpus: DataFrame | None = None, text_col: str = "te
     scratch = Scratch(docs.sparkSession, "lm")
     inside = corpus is None
     docs = repeatable(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), scratch)
-    n_buckets = _SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = exploded(docs.select("text"), order, size, n_buckets)
     if inside:
         known = own.withColumn("total", F.sum("n").over(Window.partitionBy("key", "bucket"))).where("total > n")
