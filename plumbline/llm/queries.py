@@ -52,35 +52,30 @@ def op5_url_filter(spark, sf_dir):
 
 
 def op6_token_rollup(spark, sf_dir):
-    """Five batches over all documents: inserts for two tokenizer versions, a batch sent
-    again, revised counts of the first version (junk symbols no longer count), and
-    deletes of all but the first of equal texts."""
-    docs = table(spark, sf_dir, "documents")
+    """Batches over all documents: inserts counted by two tokenizers, one of them sent
+    again, revised counts of the first (each document's end id now counts), and deletes
+    of all but the first of equal texts, with a compaction in between."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.sha2("text", 256).alias("same"), "text")
     scratch = Scratch(spark, "rollup")
-    count = lambda p: F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("long")
-    rows = scratch.keep(
-        docs.select(
-            "doc_id", "source", "lang", F.md5("text").alias("text"),
-            count(r"[^\x20\x09-\x0D]+").alias("a"), count(r"[^\x20\x09-\x0D#*$%&|<>]+").alias("a2"),
-            count(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").alias("b"),
-        ),
-        "counts",
-    )
-    first = rows.groupBy("text").agg(F.min("doc_id").alias("first"))
-    extra = rows.alias("r").join(first.alias("f"), F.expr("r.text <=> f.text")).where("doc_id <> first").select("r.*")
+    versions = {v: public_tokenizers.path(f"{v}.json") for v in ("byte_bpe_50k", "word_bpe_49k")}
+    rows = scratch.keep(token_rollup.count_tokens(docs, versions), "counts")
+    first = rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    extra = rows.alias("r").join(first.alias("f"), F.expr("r.same <=> f.same")).where("doc_id <> first").select("r.*")
     none = F.lit(None).cast("long")
 
     def changes(df, op, version, old, new):
         return df.select(F.lit(op).alias("op"), "source", "lang", F.lit(version).alias("tokenizer_version"), old.alias("old_tokens"), new.alias("new_tokens"))
 
     store = token_rollup.TokenRollup(spark, scratch.path("store"))
-    a, a2, b = F.col("a"), F.col("a2"), F.col("b")
-    store.apply("1", changes(rows, "insert", "words-1", none, a))
-    store.apply("2", changes(rows, "insert", "alnum-1", none, b))
-    store.apply("2", changes(rows, "insert", "alnum-1", none, b))
-    store.apply("3", changes(rows, "revise", "words-1", a, a2))
+    a, b = (F.col(v) for v in versions)
+    store.apply("1", changes(rows, "insert", "byte_bpe_50k", none, a))
+    store.apply("2", changes(rows, "insert", "word_bpe_49k", none, b))
+    store.apply("2", changes(rows, "insert", "word_bpe_49k", none, b))
+    store.apply("3", changes(rows, "revise", "byte_bpe_50k", a, a + 1))
     store.compact()
-    store.apply("4", changes(extra, "delete", "words-1", a2, none).union(changes(extra, "delete", "alnum-1", b, none)))
+    store.apply("4", changes(extra, "delete", "byte_bpe_50k", a + 1, none).union(changes(extra, "delete", "word_bpe_49k", b, none)))
     return store.totals()
 
 
@@ -109,16 +104,6 @@ def op10_mixing(spark, sf_dir):
 
 QUERIES = {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_decontaminate": op3_decontaminate, "op4_quality_rules": op4_quality_rules, "op5_url_filter": op5_url_filter, "op6_token_rollup": op6_token_rollup, "op7_lm_score": op7_lm_score, "op8_token_output": op8_token_output, "op9_quality_pu": op9_quality_pu, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {
-    "op6_token_rollup": r"""
-WITH counted AS (
-  SELECT source, lang, doc_id = min(doc_id) OVER (PARTITION BY text) AS first,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D#*$%&|<>]+')), 0) AS a,
-         coalesce(len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')), 0) AS b
-  FROM documents)
-SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(a) AS BIGINT) AS n_tokens FROM counted WHERE first GROUP BY source, lang
-UNION ALL
-SELECT source, lang, 'alnum-1', count(*), CAST(sum(b) AS BIGINT) FROM counted WHERE first GROUP BY source, lang
-""",
     "op7_lm_score": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
