@@ -129,10 +129,10 @@ def _simhash_edges(rows: DataFrame, scratch: Scratch, max_dist: int) -> DataFram
 
 
 def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shingle: int, max_dist: int) -> DataFrame:
-    """``(id_col, key, component_id)`` for every row: the smallest id of its near copies and SimHash links."""
+    """``(id_col, key, class)`` for every row; near copies and SimHash links share a class."""
     rows = scratch.keep(_rows(docs, text_col, id_col, shingle), "rows")
     edges = _simhash_edges(rows, scratch, max_dist)
-    nodes = rows.groupBy("node").agg(F.min(id_col).alias("rep"), F.min("key").alias("key"), F.first("buckets").alias("buckets"))
+    nodes = rows.groupBy("node").agg(F.min("key").alias("key"), F.first("buckets").alias("buckets"))
     nodes = scratch.keep(nodes, "nodes")
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
     shared = scratch.keep(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
@@ -166,14 +166,12 @@ def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shing
             if not is_empty(new):
                 root = scratch.keep(connected_components(edges, scratch), "roots")
             break
-    joined = nodes.select("node", "rep").join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
-    joined = scratch.keep(joined, "joined")
-    low = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    found = scratch.keep(joined.join(low, "root").select("node", "component_id"), "classes")
-    return rows.select(id_col, "key", "node").join(found, "node").select(id_col, "key", "component_id")
+    found = nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
+    found = scratch.keep(found, "classes")  # a join of two plain tables: a node of very many rows can be split
+    return rows.select(id_col, "key", "node").join(found, "node").select(id_col, "key", "class")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, max_dist: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when each class of near copies, or of SimHash links, keeps its smallest id."""
+    """The rows of ``docs`` that stay when each class of near copies, or of SimHash links, keeps one row, as in ``simhash.keep_one``."""
     scratch = Scratch(docs.sparkSession, "near-copies")
     return simhash.keep_least(docs, classes(docs, scratch, text_col, id_col, shingle, max_dist), scratch, text_col, id_col)

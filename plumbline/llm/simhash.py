@@ -14,7 +14,8 @@ one of ``max_dist + 1`` blocks of bits, so the walk runs over that many tries,
 each with another block rotated to the top, and starts at the pairs (node, same
 node) at the depth of that block with nothing spent. Pairs of nodes that hold
 few fingerprints are opened to their leaves. Every step is a join of node pairs
-with children, spread by node; a crowded prefix only makes more node pairs.
+with children, spread by node; a crowded prefix only makes more node pairs, and only
+the leaves below pairs that are still open go down to the next step.
 """
 
 from __future__ import annotations
@@ -117,6 +118,10 @@ def hamming_links(fps: DataFrame, scratch: Scratch, max_dist: int = 2) -> DataFr
         many = pairs.where(~few)
         if is_empty(many):
             return links.distinct()
+        # only the leaves below open pairs are carried down
+        ends = many.select("rot", F.explode(F.array("a", "b")).alias("p")).distinct()
+        below = trie.withColumn("p", _prefix(F.col("key"), depth)).join(_sent(ends, ends.count()), ["rot", "p"], "left_semi")
+        trie = scratch.keep(below.drop("p"), "trie")
         deeper = min(depth + STRIDE, BITS)
         child = trie.groupBy("rot", _prefix(F.col("key"), depth).alias("p"), _prefix(F.col("key"), deeper).alias("c")).agg(F.count("*").alias("n"))
         kids_a = child.select("rot", F.col("p").alias("a"), F.col("c").alias("ca"), F.col("n").alias("nca"))
@@ -133,7 +138,7 @@ def hamming_links(fps: DataFrame, scratch: Scratch, max_dist: int = 2) -> DataFr
 
 
 def _classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shingle: int, max_dist: int) -> DataFrame:
-    """``(id_col, key, fp, component_id, n_links)`` for every row."""
+    """``(id_col, key, fp, component_id, n_links, class)`` for every row."""
     rows = scratch.keep(fingerprints(docs, text_col, id_col, shingle), "fingerprints")
     own = scratch.keep(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "distinct")
     links = scratch.keep(hamming_links(own.select("fp"), scratch, max_dist), "links")
@@ -141,12 +146,12 @@ def _classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shin
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     linked = own.join(root, own.fp == root.node).select("fp", "rep", "root")
     low = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(low, "root").join(degree, F.col("fp") == degree.node).select("fp", "component_id", "n_links")
+    linked = linked.join(low, "root").join(degree, F.col("fp") == degree.node).select("fp", "component_id", "n_links", "root")
     classes = own.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "fp", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "fp").alias("class")
     )
     classes = scratch.keep(classes, "classes")  # a join of two plain tables: a fingerprint of very many rows can be split
-    return rows.join(classes, "fp").select(id_col, "key", "fp", "component_id", "n_links")
+    return rows.join(classes, "fp").select(id_col, "key", "fp", "component_id", "n_links", "class")
 
 
 def near_duplicates(
@@ -159,33 +164,34 @@ def near_duplicates(
     row's own. Rows of equal fingerprint share a class; a repeated row gets a row
     each; an empty table gives an empty result; other columns are not read.
     """
-    return _classes(docs, Scratch(docs.sparkSession, "simhash"), text_col, id_col, shingle, max_dist).drop("key")
+    return _classes(docs, Scratch(docs.sparkSession, "simhash"), text_col, id_col, shingle, max_dist).drop("key", "class")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, max_dist: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when each class of near-duplicates keeps its smallest id.
+    """The rows of ``docs`` that stay when each class of near-duplicates keeps one row.
 
-    Rows without an id pass through; of repeated rows of a kept id and text one
-    stays. The rows to drop are looked up, so that while they are few the documents
-    themselves are not shuffled.
+    That is one of its least id, null ids last, and of several texts under that id the
+    one of least hash; of repeated rows one stays. The rows to drop are looked up, so
+    that while they are few the documents themselves are not shuffled.
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     return keep_least(docs, _classes(docs, scratch, text_col, id_col, shingle, max_dist), scratch, text_col, id_col)
 
 
 def keep_least(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: str, id_col: str) -> DataFrame:
-    """``keep_one`` by the classes ``rows(id_col, key, component_id)``."""
-    rows = rows.where(F.col(id_col).isNotNull())
-    # of a class: its least id; of rows with that id: one
-    per = rows.groupBy(F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.min("component_id").alias("__c"), F.count("*").alias("__n"))
-    per = per.where("__c <> __id or __n > 1").select("__id", "__key", F.when(F.col("__c") == F.col("__id"), F.col("__n")).otherwise(0).alias("__n"))
-    per = scratch.keep(per, "not-once")
+    """``keep_one`` by the classes ``rows(id_col, key, class)``."""
+    per = scratch.keep(rows.groupBy("class", F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("__n")), "texts")
+    least = per.groupBy("class").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("w"))
+    least = least.select(F.col("w.__id").alias("__wid"), F.col("w.__key").alias("__wkey"), F.lit(True).alias("__stays"))
+    per = per.join(least, F.expr("__id <=> __wid and __key = __wkey"), "left").where("__stays is null or __n > 1")
+    per = scratch.keep(per.select("__id", "__key", F.when(F.col("__stays"), F.col("__n")).otherwise(0).alias("__n")), "not-once")
     n_drop = per.count()
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col("__key"))
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))
     out = docs.join(_sent(per, n_drop), on, "left_anti")
     again = per.where("__n > 1")
     if is_empty(again):
         return out
     more = docs.join(_sent(again, n_drop), on, "left_semi")
-    first = Window.partitionBy(id_col, F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.lit(0))
+    first = Window.partitionBy(id_col, key).orderBy(F.lit(0))
     return out.union(more.withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn"))

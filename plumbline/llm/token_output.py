@@ -2,22 +2,25 @@
 
 Documents are ordered by id over range partitions; each partition is tokenised and
 written as one Arrow IPC file (the stream format between a magic number and a
-footer). A file's batches hold ``ids``, ``mask`` and ``last``: fixed-size lists of
-``seq_len`` numbers, the truth of each position (false: padding, only after a
-partition's last token) and whether it ends a document. All batches but the last
-have ``BATCH`` sequences, so sequence ``i`` is row ``i % BATCH`` of batch
-``i // BATCH``, a slice of a memory map without a copy. Beside it a second file
-lists the documents' ids. A written partition reports itself by a row with the
+footer). A file's batches hold ``ids`` and ``mask``: fixed-size lists of ``seq_len``
+numbers, a mask being a byte a position (1: a token, 0: padding, only after a
+partition's last token). All batches but the last have ``BATCH`` sequences, so
+sequence ``i`` is row ``i % BATCH`` of batch ``i // BATCH``, and its ids and mask are
+slices of a memory map, neither copied. Beside it a second file lists the documents'
+ids and numbers of tokens. A written partition reports itself by a row with the
 names of its files; names are unique to the attempt, so what a failed or doubled
 attempt has written is never read.
 
 Ids take 16 bits where the vocabulary allows, else 32. Words repeat, so a bounded
 table of encoded words saves most calls of the tokenizer; it is used only for
 byte-level tokenizers without normalizer, at spaces where the encoding of what
-follows cannot depend on what came before, and gives the same ids.
+follows cannot depend on what came before, and for tokenizers that drop white space
+and whose pieces and normal forms never reach across a space. It gives the same ids.
 
 Nulls: a null text is an empty one, and has just the end id; a null id comes first.
-Repeated rows are written once each; an empty table writes no file.
+Repeated rows are written once each, rows of equal id in an order of no meaning. Texts
+of any length are encoded whole; one text's ids are held at a time. Other columns,
+whatever their names, are not read. An empty table writes no file.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import unicodedata
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -35,7 +39,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch
+from plumbline.llm.common import Scratch, qualified
 
 SEQ_LEN = 2048
 #: Sequences in a batch.
@@ -47,6 +51,22 @@ _DOCS_IN_BATCH = 4096
 ENCODED = 512
 
 
+# Fixed value: the pattern of pieces of a public tokenizer; none of its alternatives matches white space.
+_SPACELESS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _drops_spaces(conf: dict) -> bool:
+    """Whether a text's ids are those of its parts between spaces, one after the other."""
+    pre = (conf.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    normal = (conf.get("normalizer") or {}).get("normalizers") or []
+    return (
+        pre[0].get("pattern") == {"Regex": _SPACELESS} and pre[0].get("behavior") == "Removed" and pre[0].get("invert") is True
+        and all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " " for n in normal)
+        and not any(p.get("add_prefix_space") for p in pre)
+        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in conf.get("added_tokens", []))
+    )
+
+
 class Encoder:
     """Texts to the bytes of their ids, little-endian, by a tokenizer of the tokenizers library."""
 
@@ -64,14 +84,14 @@ class Encoder:
             and not pre.get("add_prefix_space", True)
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in conf.get("added_tokens", []))
         )
+        self.by_part = _drops_spaces(conf)
         self.words: dict[str, bytes] = {}
+        self.points = dict(zip(".,", self._plain([".", ","]), strict=True))
         if self.by_word:
             # ids whose text begins with a space: among words that each begin with one, these begin a word
             vocab = self.tokenizer.get_vocab()
             self.opens = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-            self.points = dict(zip(".,", self._plain([".", ","]), strict=True))
-
     _unsafe = re.compile(r" (?:\s|\Z)")
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -80,6 +100,8 @@ class Encoder:
 
     def _spaced(self, words: list[str]) -> list[bytes]:
         """The ids of words that follow a space, the space included: encoded in long texts and taken apart."""
+        if self.by_part:
+            return self._plain(words)
         out = []
         for i in range(0, len(words), 256):
             some = words[i : i + 256]
@@ -97,7 +119,12 @@ class Encoder:
         out: list = [None] * len(texts)
         whole, split, first, seen = [], [], set(), set()
         for i, text in enumerate(texts):
-            if self.by_word and not self._unsafe.search(text):
+            if self.by_part:
+                words = [w for w in text.replace("\n", " ").split(" ") if w]
+                split.append((i, "", words))
+                first.add("")
+                seen.update(words)
+            elif self.by_word and not self._unsafe.search(text):
                 head, *words = text.split(" ")
                 split.append((i, head, words))
                 first.add(head)
@@ -111,7 +138,7 @@ class Encoder:
         known = self.words
         missing = seen.difference(known)
         # letters with one point after them are the ids of the letters and that of the point
-        pointed = [w for w in missing if w[-1] in self.points and w[:-1].isalpha()]
+        pointed = [w for w in missing if w[-1] in self.points and w[:-1].isalpha() and (w.isascii() or not self.by_part or unicodedata.normalize("NFC", w[:-1]).lower().isalpha())]
         missing.difference_update(pointed)
         missing.update({w[:-1] for w in pointed}.difference(known))
         missing = list(missing)
@@ -158,13 +185,13 @@ class _Writer:
         fs.create_dir(path, recursive=True)
         kind = pa.from_numpy_dtype(self.dtype)
         lists = lambda t: pa.list_(t, self.seq_len)
-        self.schema = pa.schema([("ids", lists(kind)), ("mask", lists(pa.bool_())), ("last", lists(pa.bool_()))])
-        self.doc_schema = pa.schema([("doc_id", self.id_type)])
+        self.schema = pa.schema([("ids", lists(kind)), ("mask", lists(pa.uint8()))])
+        self.doc_schema = pa.schema([("doc_id", self.id_type), ("n_tokens", pa.int64())])
         self.out = fs.open_output_stream(f"{path}/{self.name}.arrow")
         self.doc_out = fs.open_output_stream(f"{path}/{self.name}.docs.arrow")
         self.file = pa.ipc.new_file(self.out, self.schema)
         self.docs = pa.ipc.new_file(self.doc_out, self.doc_schema)
-        self.buffer, self.ends, self.ids = bytearray(), [], []
+        self.buffer, self.ids, self.sizes = bytearray(), [], []
         self.n_docs = self.n_tokens = 0
 
     def add(self, doc_id, ids: bytes):
@@ -172,8 +199,8 @@ class _Writer:
         size = len(ids) // self.dtype.itemsize
         self.n_tokens += size
         self.n_docs += 1
-        self.ends.append(len(self.buffer) // self.dtype.itemsize - 1)
         self.ids.append(doc_id)
+        self.sizes.append(size)
         if len(self.ids) >= _DOCS_IN_BATCH:
             self._flush_docs()
         if len(self.buffer) >= self.seq_len * BATCH * self.dtype.itemsize:
@@ -181,28 +208,23 @@ class _Writer:
 
     def _flush_docs(self):
         if self.ids:
-            self.docs.write_batch(pa.record_batch([pa.array(self.ids, self.id_type)], schema=self.doc_schema))
-            self.ids = []
+            self.docs.write_batch(pa.record_batch([pa.array(self.ids, self.id_type), pa.array(self.sizes, pa.int64())], schema=self.doc_schema))
+            self.ids, self.sizes = [], []
 
     def _flush(self, final: bool):
         per = self.seq_len * BATCH
         tokens = np.frombuffer(bytes(self.buffer), dtype=self.dtype)
-        last = np.zeros(len(tokens), dtype=bool)
-        last[self.ends] = True
         whole = len(tokens) // per * per
         for i in range(0, whole, per):
-            self._batch(tokens[i : i + per], last[i : i + per], per)
+            self._batch(tokens[i : i + per], per)
         rest = tokens[whole:]
-        if final:
-            if len(rest):
-                self._batch(rest, last[whole:], -(-len(rest) // self.seq_len) * self.seq_len)
-        else:
-            self.buffer = bytearray(rest.tobytes())
-            self.ends = np.flatnonzero(last[whole:]).tolist()
-
-    def _batch(self, tokens, last, size):
+        self.buffer = bytearray(rest.tobytes())
+        if final and len(rest):
+            self._batch(rest, -(-len(rest) // self.seq_len) * self.seq_len)
+
+    def _batch(self, tokens, size):
         pad = size - len(tokens)
-        cols = [np.pad(tokens, (0, pad)), np.pad(np.ones(len(tokens), dtype=bool), (0, pad)), np.pad(last, (0, pad))]
+        cols = [np.pad(tokens, (0, pad)), np.pad(np.ones(len(tokens), dtype=np.uint8), (0, pad))]
         self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(c), self.seq_len) for c in cols], schema=self.schema))
 
     def close(self):
@@ -259,9 +281,8 @@ def sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
     source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(i // BATCH)
     size = batch.schema.field("ids").type.list_size
-    ids = batch.column("ids").flatten().slice(i % BATCH * size, size)
-    mask = batch.column("mask").flatten().slice(i % BATCH * size, size)
-    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+    ids, mask = (batch.column(c).flatten().slice(i % BATCH * size, size).to_numpy() for c in ("ids", "mask"))
+    return ids, mask
 
 
 def _documents(uri: str, name: str):
@@ -269,25 +290,24 @@ def _documents(uri: str, name: str):
     fs, path = _open(uri)
     with fs.open_input_file(f"{path}/{name}.arrow") as f, fs.open_input_file(f"{path}/{name}.docs.arrow") as g:
         tokens, docs = pa.ipc.open_file(f), pa.ipc.open_file(g)
-        ids = (x for i in range(docs.num_record_batches) for x in docs.get_batch(i).column(0).to_pylist())
-        crc = n = at = 0
-        for i in range(tokens.num_record_batches):
-            batch = tokens.get_batch(i)
-            mask = batch.column("mask").flatten().to_numpy(zero_copy_only=False)
-            real = int(mask.sum())
-            values = batch.column("ids").flatten().to_numpy()[:real].astype("<u4")
-            last = np.flatnonzero(batch.column("last").flatten().to_numpy(zero_copy_only=False)[:real])
-            out, begin = [], 0
-            for end in last.tolist():
-                crc = zlib.crc32(values[begin : end + 1].data, crc)
-                n += end + 1 - begin
-                out.append((next(ids), at, n, crc))
-                at += n
-                begin, n, crc = end + 1, 0, 0
-            crc = zlib.crc32(values[begin:].data, crc)
-            n += real - begin
-            if out:
-                yield list(zip(*out, strict=True))
+
+        def pieces():
+            for i in range(tokens.num_record_batches):
+                batch = tokens.get_batch(i)
+                real = int(batch.column("mask").flatten().to_numpy().sum())
+                yield batch.column("ids").flatten().to_numpy()[:real].astype("<u4")
+
+        more, have, at = pieces(), np.empty(0, dtype="<u4"), 0
+        for i in range(docs.num_record_batches):
+            batch, out = docs.get_batch(i), []
+            for doc, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                crc, missing = 0, n
+                while missing > len(have):
+                    crc, missing = zlib.crc32(have.data, crc), missing - len(have)
+                    have = next(more)
+                out.append((doc, at, n, zlib.crc32(have[:missing].data, crc)))
+                have, at = have[missing:], at + n
+            yield list(zip(*out, strict=True))
 
 
 def read_documents(manifest: DataFrame, uri: str, id_type: str = "bigint") -> DataFrame:
@@ -309,8 +329,13 @@ def read_documents(manifest: DataFrame, uri: str, id_type: str = "bigint") -> Da
     return parts.select("name", "before").mapInArrow(run, f"doc_id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Writes the documents' files into the shared folder and returns what they hold."""
-    uri = Scratch(docs.sparkSession, "tokens").path("arrow")
+def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, text_col: str = "text", id_col: str = "doc_id", out_uri: str | None = None) -> DataFrame:
+    """Writes the documents' files and returns what they hold.
+
+    They go to a new folder under ``out_uri``, which stays, or else to one that is
+    deleted when the driver ends.
+    """
+    spark = docs.sparkSession
+    uri = f"{qualified(spark, out_uri)}/tokens-{uuid.uuid4().hex}" if out_uri else Scratch(spark, "tokens").path("arrow")
     manifest = write(docs, tokenizer_path, uri, end_id, text_col, id_col)
     return read_documents(manifest, uri, docs.schema[id_col].dataType.simpleString())

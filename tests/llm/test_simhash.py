@@ -75,6 +75,11 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert got == [(0, 3), (2, 2), (3, 3), (3, 3)]
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [2, 3]
+    # one row of a class stays, also of differing texts under one id and where no row has an id
+    words = [f"w{i}" for i in range(400)]
+    near = [" ".join(words), " ".join(words).upper(), " ".join(words)]
+    docs = spark.createDataFrame([(3, near[0], "", 0), (3, near[1], "", 0), (3, near[2], "", 0), (None, "x y", "", 0), (None, "X y", "", 0), (None, None, "", 0), (9, "", "", 0)], SCHEMA)
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(docs).collect()) == [0, 3, 9]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
     assert simhash.keep_one(docs.where(F.lit(False))).count() == 0

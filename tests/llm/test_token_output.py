@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -51,9 +52,11 @@ def test_round_trip_and_random_access(spark, tmp_path):
     found = []
     for r in sorted(manifest, key=lambda r: r.part):
         for i in range(-(-r.n_tokens // 16)):
+            held = pa.total_allocated_bytes()
             ids, mask = out.sequence(f"{uri}/{r.name}.arrow", i)
+            assert pa.total_allocated_bytes() == held and not ids.flags.owndata and not mask.flags.owndata  # views of the map
             assert len(ids) == len(mask) == 16
-            found += ids[mask].tolist()
+            found += ids[mask.astype(bool)].tolist()
     assert found == stream
 
 
@@ -62,3 +65,20 @@ def test_null_ids_and_empty_table(spark):
     assert sorted((r.start, r.doc_id, r.n_tokens) for r in out.round_trip(docs, PATH, 2).collect()) == [(0, None, 2), (2, 1, 1)]
     assert out.round_trip(docs.where(F.lit(False)), PATH, 2).count() == 0
     assert Scratch(spark, "x").root.startswith("file:///")
+
+
+def test_files_stay_in_an_output_folder(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    assert out.round_trip(docs, PATH, 2, out_uri=str(tmp_path)).count() == 1
+    assert len([p for p in tmp_path.rglob("*.arrow") if not p.name.startswith(".")]) == 2
+
+
+def test_encoded_words_are_the_ids_of_plain_calls():
+    rng = random.Random(3)
+    alphabet = ["a", "É", "é", " ", "\n", "\t", ".", ",", "'s", "12", "  ", "Σ", "ΑΣ", "\x1c", "́", "<|endoftext|>", "ﬁ", "中", "-", "İ", "'", "\x85", "word", "क़"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for name, table in (("word_bpe_49k.json", "by_part"), ("byte_bpe_50k.json", "by_word")):
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            coder = out.Encoder(f.read())
+        assert getattr(coder, table)
+        assert [x for i in range(0, len(texts), 500) for x in coder.encode(texts[i : i + 500])] == coder._plain(texts)
