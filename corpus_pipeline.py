@@ -2,7 +2,14 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. All but the last
 return documents with the columns of ``documents``; the last returns what its token
-files hold of each document. Stages are written and read again in between.
+files hold of each document; the files stay in ``output_folder``. Stages are written
+and read again in between.
+
+Every stage handles null texts (no words: rejected or kept by the classifier's score,
+one class to near-dedup, clean, of size 0 and so in no copy of the mix), null, tied and
+repeated ids (each row is judged by itself; near-dedup keeps one row of a class; the
+mix makes copies of rows), texts of any length, whole, columns beside those named, and
+an empty table, which gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,11 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, mixing, near_copies, quality_pu, token_output
-from plumbline.llm.common import Scratch, table
+from plumbline.llm.common import Scratch, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 WEIGHTS = [3, 1, 2]
+#: The session setting that names the folder of the token files, which stay there.
+OUTPUT = "plumbline.corpus.output"
+
+
+def output_folder(spark: SparkSession) -> str:
+    """The folder of the token files: the session's, or one in the folder that driver and executors share."""
+    return spark.conf.get(OUTPUT, None) or f"{shared_dir(spark)}/corpus"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +56,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, in order of id, and what they hold."""
     import public_tokenizers
 
-    return token_output.round_trip(docs, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_output.round_trip(docs, public_tokenizers.path(TOKENIZER), END_ID, out_uri=output_folder(spark))
 
 
 STAGES = [
