@@ -7,19 +7,25 @@ costs little more than its length. The patterns are anchored where a run of thei
 characters begins and take runs whole, which changes no match but keeps a long run
 from being tried at each of its characters.
 
-Bootstrapping: base entities are the seeds. Every identifier-like token run (with a
-digit or an @) is a candidate instance, and the one or two words before it a
-lexical pattern. Patterns and instances form a graph. Each round scores a pattern by
-the scores of the instances that follow it, over all that follows its words in the
-corpus, with ``PRIOR`` doubtful ones added; and each unknown instance by how sure
-its patterns are together (noisy or). Seeds stay at 1. After ``ROUNDS`` rounds,
-instances that reach ``ACCEPT`` are marked wherever a sure pattern precedes them. A
-pattern needs ``SUPPORT`` distinct seeds, so copies of one do not make it. All
-counts are partly added before each shuffle, so a common word is no single task's
-load, and what crosses it is a row for each pattern, not for each follower.
-
-Nulls: a null text is empty, a null id is kept. Repeated rows get a row each; an
-empty table gives an empty result.
+Bootstrapping: seeds are the base entities, and words of a form that keys and access
+tokens have (``SECRET``). Words with a digit or an @, and runs of up to ``RUN`` of them
+with single spaces between, are candidate instances, less the marks around them (longer
+runs are taken word by word), and the word and the two words before are lexical patterns.
+Patterns and instances form a graph. A pattern of a kind needs ``SUPPORT`` distinct
+known instances before it counts, so copies of one do not make it. Each round scores
+the patterns by the scores of the instances that follow them, over all that follows
+their words in the corpus, with ``PRIOR`` doubtful ones added; and each unknown
+instance by how sure its patterns are together (noisy or). Instances that reach
+``ACCEPT`` are known from then on, and may make further patterns; rounds go on until
+none is added and the scores rise by under ``RISE`` of their sum. Known instances, and words of the ``SECRET`` form, are marked wherever
+a sure pattern precedes them; a form alone marks nothing. An accepted instance has an @
+or ``LEAST_DIGITS`` digits at least, since fewer are years, versions and numbers of
+things. All counts are partly added before each shuffle, so a common word is no single
+task's load.
+
+Texts are taken whole, and so are words of any length. Nulls: a null text is empty, a
+null id is kept. Repeated rows get a row each, ties of kinds go to the last by name;
+other columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,14 +44,15 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Runs of tokens with a digit or an @, joined by single spaces.
-_CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+(?:\x20[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)*+"
-ROUNDS = 3
+# Public forms of keys and access tokens; they seed patterns.
+SECRET = r"^(?:[0-9a-f]{40}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{32,}|xox[abprs]-[0-9A-Za-z-]{20,})$"
+_CORE = r"(?s)[0-9A-Za-z+@(](?:.*[0-9A-Za-z])?"
+#: Neighbouring words of a longer run are candidates one by one.
+RUN = 4
 PRIOR = 1.0
 SUPPORT = 3
 ACCEPT = 0.8
-#: Candidates longer than this are no identifiers.
-LONGEST = 64
+RISE = 1e-3
 #: Digits that a discovered instance without an @ has at least.
 LEAST_DIGITS = 5
 
@@ -126,82 +133,128 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """Identifier-like runs of ``rows(doc_id, key, text, spans)``.
+_CANDIDATES = "array<struct<start:int,end:int,value:string,one:bigint,two:bigint,kind:string>>"
 
-    ``(doc_id, key, start, end, value, one, two, kind)``: the word before, the two
-    before, and the kind of the base span that the run overlaps, if any.
-    """
-    found = rows.where(F.col("text").rlike("[0-9@]")).select("doc_id", "key", "text", "spans", F.explode(matches(F.col("text"), _CANDIDATE)).alias("m"))
-    before = F.substring(F.col("text"), F.greatest(F.col("m.start") - 79, F.lit(1)), F.least(F.lit(80), F.col("m.start")))
-    words = F.slice(F.concat(F.array(F.lit("^"), F.lit("^")), F.regexp_extract_all(F.lower(before), F.lit(WORD), F.lit(0))), -2, 2)
-    over = F.filter("spans", lambda s: (s.start < F.col("m.end")) & (s.end > F.col("m.start")))
-    found = settle(found.where(F.col("m.end") - F.col("m.start") <= LONGEST), w=words)
-    return found.select(
-        "doc_id", "key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.value").alias("value"),
-        F.concat(F.lit("1 "), F.get("w", 1)).alias("one"), F.concat_ws(" ", F.lit("2"), F.get("w", 0), F.get("w", 1)).alias("two"),
-        F.get(over, 0).kind.alias("kind"),
-    )
 
+def _context(hashes: Column, i: Column) -> list[Column]:
+    """Hashes of the word before place ``i`` of a text's words and of the two before."""
+    before = lambda k: F.when(i >= k, F.get(hashes, i - k)).otherwise(F.lit(0).cast("long"))
+    return [F.xxhash64(F.lit(1), before(1)), F.xxhash64(F.lit(2), before(2), before(1))]
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(F.lower(w)))
+
+
+def candidates(text: Column, spans: Column) -> Column:
+    """Runs of words with a digit or an @: where the part between marks is, its value, patterns before it, and the kind of a seed."""
+
+    def runs(words):
+        flag = lambda i: F.coalesce(F.get(words, i).value.rlike("[0-9@]"), F.lit(False))
+        joined = lambda i: flag(i) & flag(i - 1) & F.coalesce(F.get(words, i - 1).end == F.get(words, i).start, F.lit(False))
+        places = F.transform(words, lambda m, i: i)
+        heads = F.filter(places, lambda i: flag(i) & ~F.when(i > 0, joined(i)).otherwise(F.lit(False)))
+        stops = F.filter(places, lambda i: flag(i) & ~joined(i + 1))
+        apart = lambda a, b: F.when(b - a < RUN, F.array(F.struct(a.alias("a"), b.alias("b")))).otherwise(F.transform(F.sequence(a, b), lambda k: F.struct(k.alias("a"), k.alias("b"))))
+        return F.flatten(F.zip_with(heads, stops, apart))
+
+    def of(words):
+        def made(hashes):
+            def one(r):
+                whole = F.array_join(F.transform(F.slice(words, r.a + 1, r.b - r.a + 1), lambda m: m.value), "")
+                first, last = F.get(words, r.a).start, F.get(words, r.b).end
+                over = F.get(F.filter(spans, lambda s: (s.start < last) & (s.end > first)), 0)
+
+                def row(core):
+                    start = first + F.instr(whole, core) - 1
+                    one_before, two_before = _context(hashes, r.a)
+                    kind = F.when(core.rlike(SECRET), "secret").otherwise(over.kind)
+                    return F.struct(start.alias("start"), (start + F.char_length(core)).alias("end"), core.alias("value"), one_before.alias("one"), two_before.alias("two"), kind.alias("kind"))
 
-def _sent(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+                return let(F.regexp_extract(whole, _CORE, 0), row)
 
+            return F.transform(runs(words), one)
 
-def discover(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """``(doc_id, key, start, end, kind, score)`` of accepted instances; None when no pattern has the support."""
-    found = scratch.keep(candidates(rows), "candidates")
+        return let(_hashes(F.transform(words, lambda m: F.rtrim(m.value))), made)
+
+    none = F.array().cast(_CANDIDATES)
+    return F.when(text.rlike("[0-9@]"), let(matches(text, WORD + r"\x20?"), of)).otherwise(none)
+
+
+def _sent(df: DataFrame, rows: int | None = None) -> DataFrame:
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def discover(found: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """``(doc_id, key, start, end, kind)`` of marked instances among candidates ``found``; None if no pattern has the support."""
     edges = found.select(F.explode(F.array("one", "two")).alias("words"), "value", "kind").groupBy("words", "value", "kind").agg(F.count("*").alias("times"))
-    seeds = edges.where("kind is not null").groupBy("words", "kind").agg(F.count_distinct("value").alias("seeds"))
-    patterns = scratch.keep(seeds.where(F.col("seeds") >= SUPPORT), "patterns")
-    if is_empty(patterns):
+    edges = scratch.keep(edges, "edges")
+    # no pattern ever has the support where fewer values than that follow
+    heads = scratch.keep(edges.groupBy("words").agg(F.count_distinct("value").alias("v")).where(F.col("v") >= SUPPORT).select("words"), "heads")
+    n_heads = heads.count()
+    if not n_heads:
         return None
-    # how often the patterns' words lead to anything
-    heads = scratch.keep(patterns.select("words").distinct(), "heads")
-    tokens = settle(rows.select("text"), w=F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    before = lambda i, k: F.when(i >= k, F.get("w", i - k)).otherwise("^")
-    pair = F.transform("w", lambda x, i: F.struct(F.concat(F.lit("1 "), before(i, 1)).alias("a"), F.concat_ws(" ", F.lit("2"), before(i, 2), before(i, 1)).alias("b")))
-    pairs = tokens.select(F.explode(pair).alias("p")).select(F.explode(F.array("p.a", "p.b")).alias("words"))
-    follow = pairs.join(_sent(heads), "words", "left_semi").groupBy("words").agg(F.count("*").alias("followers"))
-    patterns = scratch.keep(patterns.join(follow, "words", "left").select("words", "kind", F.coalesce("followers", F.lit(0)).alias("followers")), "patterns")
-    # the graph: instances that patterns of each kind lead to
-    links = edges.select("words", "value", "times", F.col("kind").alias("own")).join(_sent(patterns), "words")
-    is_seed = F.coalesce((F.col("own") == F.col("kind")).cast("double"), F.lit(0.0))
-    links = links.groupBy("words", "kind", "value", "followers").agg(F.max(is_seed).alias("seed"), F.sum("times").alias("times"))
-    links = scratch.keep(links, "links")
-    score = None
-    for _ in range(ROUNDS):
-        known = F.col("seed") if score is None else F.greatest(F.col("seed"), F.coalesce("score", F.lit(0.0)))
-        graph = links if score is None else links.join(score, ["value", "kind"], "left")
-        sure = graph.groupBy("words", "kind", "followers").agg(F.sum(known * F.col("times")).alias("got"))
-        sure = sure.select("words", "kind", F.least(F.lit(0.99), F.col("got") / (F.greatest("followers", "got") + PRIOR)).alias("sure"))
-        sure = scratch.keep(sure, "pattern-scores")
-        score = links.join(_sent(sure), ["words", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("sure"))))).alias("score"))
-        score = scratch.keep(score, "instance-scores")
-    good = score.where(F.col("score") >= ACCEPT)
+    # how often the heads' words lead to anything
+    hashes = settle(texts, h=_hashes(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).select("h")
+    pairs = hashes.select(F.explode(F.flatten(F.transform("h", lambda x, i: F.array(*_context(F.col("h"), i))))).alias("words"))
+    if n_heads <= BROADCAST_ROWS:
+        follow = pairs.join(F.broadcast(heads), "words", "left_semi").groupBy("words").agg(F.count("*").alias("followers"))
+    else:  # counted before the shuffle, so that no common word is sent row by row
+        follow = pairs.groupBy("words").agg(F.count("*").alias("followers")).join(heads, "words", "left_semi")
+    follow = scratch.keep(follow, "followers")
+    edges = edges.join(_sent(follow, n_heads), "words")
+    edges = scratch.keep(edges, "graph")  # (words, value, kind, times, followers)
+    known = scratch.keep(edges.where("kind is not null").select("value", "kind").distinct(), "known")
+    if is_empty(known):
+        return None
+    score, total = None, 0.0
     enough = F.col("value").contains("@") | (F.regexp_count("value", F.lit("[0-9]")) >= LEAST_DIGITS)
-    marked = found.where(F.col("kind").isNull() & enough).drop("kind").join(_sent(good), "value")
-    strong = sure.where(F.col("sure") >= ACCEPT / 2).select("kind", F.col("words").alias("by"))
+    plain = edges.select("words", "value", "times", "followers", (F.col("kind").isNotNull()).alias("seed"))
+    while True:
+        weight = known.withColumn("weight", F.lit(1.0)).withColumn("sure", F.lit(1))
+        if score is not None:
+            others = score.join(known, ["value", "kind"], "left_anti").select("value", "kind", F.col("score").alias("weight"), F.lit(0).alias("sure"))
+            weight = weight.union(others)
+        graph = plain.join(weight, "value")
+        patterns = graph.groupBy("words", "kind").agg(
+            F.max("followers").alias("followers"), F.sum(F.col("weight") * F.col("times")).alias("got"), F.count_distinct(F.when(F.col("sure") == 1, F.col("value"))).alias("known")
+        ).where(F.col("known") >= SUPPORT)
+        patterns = patterns.select("words", "kind", F.least(F.lit(0.99), F.col("got") / (F.greatest("followers", "got") + PRIOR)).alias("p"))
+        patterns = scratch.keep(patterns, "pattern-scores")
+        score = plain.join(_sent(patterns), "words").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("p"))))).alias("score"), F.max("seed").alias("seed"))
+        score = scratch.keep(score, "instance-scores")
+        new = score.where((F.col("score") >= ACCEPT) & ~F.col("seed") & enough).select("value", "kind").join(known, ["value", "kind"], "left_anti")
+        new = scratch.keep(new, "accepted")
+        before, total = total, score.agg(F.sum("score")).first()[0] or 0.0
+        if not is_empty(new):
+            known = scratch.keep(known.union(new), "known")
+        elif total - before <= RISE * total:
+            break
+    marked = found.where("kind is null or kind = 'secret'").withColumnRenamed("kind", "own").join(_sent(known), "value").where("own is null or own = kind")
+    strong = patterns.where(F.col("p") >= ACCEPT / 2).select("kind", F.col("words").alias("by"))
     marked = marked.withColumn("by", F.explode(F.array("one", "two"))).join(_sent(strong), ["kind", "by"], "left_semi")
-    return marked.groupBy("doc_id", "key", "start", "end").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
+    return marked.groupBy("doc_id", "key", "start", "end").agg(F.max("kind").alias("kind"))
 
 
 def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``(doc_id, base, spans)`` for every row: sorted arrays of (start, order, end, kind, value).
 
-    ``spans`` has the base spans and the discovered ones.
+    ``spans`` has the base spans and the discovered ones, whose value is null.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
-    base = scratch.keep(settle(rows, spans=base_spans(F.col("text"))).select("doc_id", "key", "spans"), "base")
-    # candidates are sought in the texts again, beside the spans computed there
-    seen = settle(rows, spans=F.when(F.col("text").rlike("[0-9@]"), base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,order:int,end:int,kind:string,value:string>>")))
-    more = discover(seen.select("doc_id", "key", "text", "spans"), scratch)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    # spans and candidates in one pass over the texts
+    seen = settle(rows.withColumn("key", F.xxhash64("text")), spans=base_spans(F.col("text")))
+    seen = settle(seen, cand=candidates(F.col("text"), F.col("spans"))).select("doc_id", "key", "spans", "cand")
+    seen = scratch.keep(seen, "base")
+    base = seen.select("doc_id", "key", "spans")
+    more = discover(seen.select("doc_id", "key", F.inline("cand")), rows.select("text"), scratch)
     if more is None:
         return base.select("doc_id", F.col("spans").alias("base"), "spans")
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    order = F.array_position(F.array(*map(F.lit, (*KINDS, "secret"))), F.col("kind")).cast("int") - 1
     more = more.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", order.alias("order"), "end", "kind", F.lit(None).cast("string").alias("value"))).alias("more"))
     more = scratch.keep(more, "discovered")
-    out = base.alias("b").join(_sent(more).alias("m"), F.expr("b.key = m.key and b.doc_id <=> m.doc_id"), "left")
+    n_spans = more.agg(F.sum(F.size("more"))).first()[0] or 0
+    out = base.alias("b").join(_sent(more, n_spans).alias("m"), F.expr("b.key = m.key and b.doc_id <=> m.doc_id"), "left")
     return out.select("b.doc_id", F.col("spans").alias("base"), F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "more"))).alias("spans"))

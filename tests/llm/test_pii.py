@@ -59,3 +59,70 @@ def test_patterns_find_unseen_identifiers(spark):
         more = [t[s.start : s.end] for s in spans if s not in base]
         assert more == ([re.search(r"\(0.*[0-9]", t)[0]] if t in hidden else []), (t, more)
         assert all(s.kind == "phone" for s in spans)
+
+
+def test_accepted_instances_make_new_patterns(spark):
+    """Keys of a known form teach one context; what stands there unseen teaches a second, which finds the rest."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    odd = [f"Zq-{rng.randrange(10**8):08}-K" for _ in range(12)]
+    sha = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    texts = [f'{word()} api token = "{x}"; {word()}' for x in sha] + [f"{word()} API\ttoken =\n{x}!! {word()}" for x in odd[:6]]
+    texts += [f"{word()} vault entry {x}" for x in odd[:6]] + [f"vault entry <{x}> {word()}" for x in odd[6:]]
+    clean = [f"{word()} commit {sha[0][::-1]} {word()}", f"{word()} in 2024 and {word()} 123456", f"about {odd[0]}x", "x" * 3000 + " 1" * 50]
+    rows = spark.createDataFrame([(i, t, "", 1) for i, t in enumerate(texts + clean)], "doc_id bigint, text string, one string, key int")
+    got = {r.doc_id: r for r in pii.find(rows).collect()}
+    for i, t in enumerate(texts):
+        want = next(x for x in sha + odd if x in t)
+        assert [t[s.start : s.end] for s in got[i].spans if s not in got[i].base] == [want], t
+    for i in range(len(texts), len(texts) + len(clean)):
+        assert got[i].spans == got[i].base
+
+
+def test_pattern_scores_match_a_plain_graph(spark):
+    """Which instances are accepted, against the same rounds on plain dictionaries."""
+    rng = random.Random(11)
+    contexts = ["mail", "id no", "ref", "the", "call"]
+    values = [f"u{i}@x.yz" for i in range(9)] + [f"N{i:05}" for i in range(12)] + [str(i) for i in range(6)]
+    lines = [" ".join(w for _ in range(6) for w in (rng.choice("abcd"), rng.choice(contexts), rng.choice(values if rng.random() < 0.8 else ["z", "of"]))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    got = {(r.doc_id, s.start, s.end, s.kind) for r in pii.find(rows).collect() for s in r.spans if s not in r.base}
+    found, follow = [], {}
+    for d, t in enumerate(lines):
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"\S+", t)]
+        for i, (a, b, w) in enumerate(words):
+            before = [x[2].lower() for x in words[:i]]
+            ctx = [("1", before[-1] if before else None), ("2", before[-2] if len(before) > 1 else None, before[-1] if before else None)]
+            for c in ctx:
+                follow[c] = follow.get(c, 0) + 1
+            if re.search("[0-9@]", w):
+                found.append((d, a, b, w, ctx, "email" if re.fullmatch(PATTERNS[0][1], w) else None))
+    known, score, total = {(w, k) for *_, w, _, k in found if k}, {}, 0.0
+    while True:
+        weight = dict(score) | {x: 1.0 for x in known}
+        stats = {}
+        for *_, w, ctx, _ in found:
+            for c in ctx:
+                if (w, "email") in weight:
+                    s = stats.setdefault(c, [0.0, set()])
+                    s[0] += weight[w, "email"]
+                    s[1] |= {w} if (w, "email") in known else set()
+        p = {c: min(0.99, s[0] / (max(follow[c], s[0]) + 1)) for c, s in stats.items() if len(s[1]) >= 3}
+        rest = {}
+        for *_, w, ctx, _ in found:
+            for c in set(ctx) & set(p):
+                rest.setdefault(w, set()).add(c)
+        score = {}
+        for w, cs in rest.items():
+            left = 1.0
+            for c in cs:
+                left *= 1 - p[c]
+            score[w, "email"] = 1 - left
+        new = {x for x, s in score.items() if s >= 0.8 and ("@" in x[0] or sum(map(str.isdigit, x[0])) >= 5)} - known
+        before, total = total, sum(score.values())
+        if not new and total - before <= 1e-3 * total:
+            break
+        known |= new
+    strong = {c for c, x in p.items() if x >= 0.4}
+    want = {(d, a, b, "email") for d, a, b, w, ctx, k in found if k is None and (w, "email") in known and set(ctx) & strong}
+    assert got == want and any(k is None and (w, "email") in known for *_, w, _, k in found)
