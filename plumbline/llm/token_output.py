@@ -3,7 +3,7 @@
 Documents are ordered by id over range partitions; each partition is tokenised and
 written as one Arrow IPC file (the stream format between a magic number and a
 footer). A file's batches hold ``ids`` and ``mask``: fixed-size lists of ``seq_len``
-numbers, a mask being a byte a position (1: a token, 0: padding, only after a
+numbers, a mask being a bit a position (true: a token, false: padding, only after a
 partition's last token). All batches but the last have ``BATCH`` sequences, so
 sequence ``i`` is row ``i % BATCH`` of batch ``i // BATCH``, and its ids and mask are
 slices of a memory map, neither copied. Beside it a second file lists the documents'
@@ -185,7 +185,7 @@ class _Writer:
         fs.create_dir(path, recursive=True)
         kind = pa.from_numpy_dtype(self.dtype)
         lists = lambda t: pa.list_(t, self.seq_len)
-        self.schema = pa.schema([("ids", lists(kind)), ("mask", lists(pa.uint8()))])
+        self.schema = pa.schema([("ids", lists(kind)), ("mask", lists(pa.bool_()))])
         self.doc_schema = pa.schema([("doc_id", self.id_type), ("n_tokens", pa.int64())])
         self.out = fs.open_output_stream(f"{path}/{self.name}.arrow")
         self.doc_out = fs.open_output_stream(f"{path}/{self.name}.docs.arrow")
@@ -224,7 +224,7 @@ class _Writer:
 
     def _batch(self, tokens, size):
         pad = size - len(tokens)
-        cols = [np.pad(tokens, (0, pad)), np.pad(np.ones(len(tokens), dtype=np.uint8), (0, pad))]
+        cols = [np.pad(tokens, (0, pad)), np.pad(np.ones(len(tokens), dtype=bool), (0, pad))]
         self.file.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(c), self.seq_len) for c in cols], schema=self.schema))
 
     def close(self):
@@ -275,14 +275,14 @@ def write(docs: DataFrame, tokenizer_path: str, out_uri: str, end_id: int, text_
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
-def sequence(uri: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence ``i`` of one file; of a local file, views of its memory map."""
+def sequence(uri: str, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence ``i`` of one file; of a local file, views of its memory map, the mask's in bits."""
     fs, path = _open(uri)
     source = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
     batch = pa.ipc.open_file(source).get_batch(i // BATCH)
     size = batch.schema.field("ids").type.list_size
-    ids, mask = (batch.column(c).flatten().slice(i % BATCH * size, size).to_numpy() for c in ("ids", "mask"))
-    return ids, mask
+    ids, mask = (batch.column(c).flatten().slice(i % BATCH * size, size) for c in ("ids", "mask"))
+    return ids.to_numpy(), mask
 
 
 def _documents(uri: str, name: str):
@@ -294,7 +294,7 @@ def _documents(uri: str, name: str):
         def pieces():
             for i in range(tokens.num_record_batches):
                 batch = tokens.get_batch(i)
-                real = int(batch.column("mask").flatten().to_numpy().sum())
+                real = batch.column("mask").flatten().true_count
                 yield batch.column("ids").flatten().to_numpy()[:real].astype("<u4")
 
         more, have, at = pieces(), np.empty(0, dtype="<u4"), 0
