@@ -10,25 +10,38 @@ from plumbline.functions.text import canonical_text, normalize_value
 from plumbline.operators.scoring import EXTRACTED
 
 
-def outcomes(results: DataFrame, truth: DataFrame, keys=("document_id", "field"), fold=canonical_text) -> DataFrame:
-    """A row for each labelled field that has a result.
+def compared(results: DataFrame, truth: DataFrame, keys=("document_id", "field"), fold=canonical_text, value: str = "value") -> DataFrame:
+    """A row for each labelled field that has a result, with what hangs on no threshold.
 
-    ``results``: keys, kind (null: string), value, status; ``truth``: document_id,
-    field, expected. An extracted value is correct if its folded normal form is the
-    truth's; a declined one if the truth has none.
+    ``same``: the value's folded normal form is the truth's; ``untold``: the truth has
+    none; ``cer``: the character error rate between the normal forms.
     """
     on = [k for k in keys if k in truth.columns]
     j = results.join(truth.select(*on, "expected"), on)
     kind = F.coalesce("kind", F.lit("string"))
-    j = j.withColumn("__p", normalize_value(F.col("value"), kind)).withColumn("__e", normalize_value(F.col("expected"), kind))
+    j = j.withColumn("__p", normalize_value(F.col(value), kind)).withColumn("__e", normalize_value(F.col("expected"), kind))
     same = F.coalesce(fold(F.col("__p")) == fold(F.col("__e")), F.lit(False))
+    return j.withColumns({"same": same, "untold": F.col("__e").isNull(), "cer": character_error_rate(F.col("__p"), F.col("__e"))}).drop("__p", "__e")
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows of ``compared`` with a status: an extracted value is correct if it is the truth's, a declined one if the truth has none."""
     answered = F.col("status") == EXTRACTED
-    correct = F.when(answered, same).otherwise(F.col("__e").isNull())
-    j = j.withColumns({"answered": answered, "correct": correct, "cer": character_error_rate(F.col("__p"), F.col("__e"))})
+    j = rows.withColumns({"answered": answered, "correct": F.when(answered, F.col("same")).otherwise(F.col("untold"))}).drop("same", "untold")
     return j.withColumns({
         "hallucinated": F.col("answered") & ~F.col("correct"),
         "justified": ~F.col("answered") & (F.col("expected").isNull() | ~F.col("correct")),
-    }).drop("__p", "__e")
+    })
+
+
+def outcomes(results: DataFrame, truth: DataFrame, keys=("document_id", "field"), fold=canonical_text) -> DataFrame:
+    """A row for each labelled field that has a result.
+
+    ``results``: keys, kind (null: string), value, status; ``truth``: document_id,
+    field, expected. An extracted value is correct if its folded normal form is the
+    truth's; a declined one if the truth has none.
+    """
+    return judged(compared(results, truth, keys, fold))
 
 
 def share(part, whole, empty: float = 0.0):

@@ -32,11 +32,12 @@ def extract(requests: DataFrame, responses: DataFrame, fields: DataFrame, settin
 def evaluation_grid(evidence: DataFrame, truth: DataFrame, thresholds: DataFrame, fold=canonical_text) -> DataFrame:
     """Metrics for each threshold from one table of evidence.
 
-    The threshold acts on the verdict alone, so votes and grounding are done once and
-    the small table of thresholds is joined last.
+    The threshold acts on the verdict alone, so votes, grounding and the comparison with
+    the truth are done once and the small table of thresholds is joined last.
     """
-    swept = scoring.verdicts(evidence.join(F.broadcast(thresholds.select("abstain_below"))), F.col("abstain_below"))
-    return evaluate.metrics(evaluate.outcomes(swept, truth, fold=fold), "abstain_below")
+    facts = evaluate.compared(evidence, truth, fold=fold, value="display")
+    swept = scoring.verdicts(facts.join(F.broadcast(thresholds.select("abstain_below"))), F.col("abstain_below"))
+    return evaluate.metrics(evaluate.judged(swept), "abstain_below")
 
 
 def readings_of(replies: DataFrame) -> DataFrame:
