@@ -7,18 +7,22 @@ Outliers: each text that passes gets a vector of transformed statistics (see
 ``VECTOR``), held as fixed-point numbers. For each language and source the minimum
 covariance determinant estimate of their centre and scatter is found: from the
 medians and interquartile ranges, concentration steps take the ``H`` share of rows
-nearest by Mahalanobis distance and estimate anew. A text whose distance from its
+nearest by Mahalanobis distance and estimate anew; a group's estimate is replaced as
+long as the determinant of its scatter falls by over ``FALL`` of itself, and steps end
+when no group's does. There is this one start, so the minimum is a local one. A text whose distance from its
 group's estimate exceeds the chi-square bound ``CUTOFF`` is rejected. Each scatter
 has ``FLOOR``, the spread of a statistic that is never an error, added to its
 diagonal; so a statistic that is constant in a group still has a scale.
 
 A group of under ``MIN_GROUP`` texts is judged by the estimate for all texts of its
-language; if those are too few as well, by the base rules alone. All sums are of
-integers and the order statistics are exact on a fixed grid of bins, so reruns
-agree whatever the order of rows; no task holds a group.
+language; a language of as few by that for all texts; where there are fewer in all, by
+the base rules alone. All sums are of integers and the nearest rows are cut on a fixed
+grid of distances (a bin is taken whole), so reruns and ties agree whatever the order
+of rows; no task holds a group.
 
 Nulls: a null text has no words; a null language or source is a value of its own.
-Repeated rows get a row each, an empty table an empty result.
+Texts of any length are taken whole; columns beside those named are not read, whatever
+their names. Repeated rows get a row each, an empty table an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +32,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, WORD, Scratch, let, settle
+from plumbline.llm.common import BROADCAST_ROWS, WORD, Scratch, is_empty, let, settle
 
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MIN_GROUP = 60
 H = 0.75
-STEPS = 4
+FALL = 1e-3
 #: Name of each transformed statistic and the spread (in its own unit) that is never an error.
 VECTOR = {
     "word_length": 0.15,  # log of the mean word length
@@ -175,16 +179,19 @@ def _finish(group: DataFrame, factor: float) -> DataFrame:
             s = (F.col(f"t_{i}_{j}") / n / SCALE / SCALE - F.col(f"m_{i}") * F.col(f"m_{j}")) * factor
             group = group.withColumn(f"s_{i}_{j}", s + floors[i] ** 2 if i == j else s)
     group = _cholesky(group)
-    return group.select(*_KEY, "n", *(f"m_{i}" for i in range(_P)), *(f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)))
+    det = sum((2 * F.log(f"l_{i}_{i}") for i in range(_P)), F.lit(0.0)).alias("det")
+    return group.select(*_KEY, "n", *(f"m_{i}" for i in range(_P)), *(f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)), det)
 
 
 def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """The estimate of each (lang, source), level 0, and of each lang, level 1, of MIN_GROUP rows or more.
+    """The estimate of each (lang, source), level 0, of each lang, level 1, and of all, level 2, of MIN_GROUP rows or more.
 
     ``vectors`` has lang, source and z.
     """
-    levels = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("source").alias("source")), F.struct(F.lit(1).alias("level"), F.lit(None).cast("string").alias("source")))).alias("x")
-    rows = vectors.select("lang", "z", levels).select("x.level", "lang", "x.source", "z")
+    none = F.lit(None).cast("string")
+    level = lambda k, lang, source: F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"))
+    levels = F.array(level(0, F.col("lang"), F.col("source")), level(1, F.col("lang"), none), level(2, none, none))
+    rows = vectors.select("z", F.explode(levels).alias("x")).select("x.*", "z")
     # medians and quartiles of each statistic from exact counts of its fixed-point values
     bins = rows.select(*_KEY, F.posexplode("z").alias("i", "v")).groupBy(*_KEY, "i", "v").agg(F.count("*").alias("c"))
     w = Window.partitionBy(*_KEY, "i").orderBy("v")
@@ -206,7 +213,8 @@ def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     group = _cholesky(group).select(*_KEY, "n", *(f"m_{i}" for i in range(_P)), *(f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)))
     group = scratch.keep(group, "start")
     factor = H / chi2_cdf(chi2_quantile(H, _P), _P + 2)
-    for _ in range(STEPS):
+    best = None
+    while True:
         near = _distance(_with(rows, group)).select(*_KEY, "z", "n", F.floor(F.log2(F.col("d2") + 1e-9) * _D_BINS).cast("int").alias("bin"))
         counts = near.groupBy(*_KEY, "bin").agg(F.count("*").alias("c"), F.max("n").alias("n"))
         upto = F.sum("c").over(Window.partitionBy(*_KEY).orderBy("bin"))
@@ -214,13 +222,24 @@ def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
         cut = scratch.keep(cut, "cut")
         chosen = _with(near, cut).where("bin <= cut")
         zi = lambda i: F.col("z")[i].cast("long")
-        group = chosen.groupBy(*_KEY).agg(
+        step = chosen.groupBy(*_KEY).agg(
             F.max("n").alias("n"), F.count("*").alias("k"),
             *(F.sum(zi(i)).alias(f"t_{i}") for i in range(_P)),
             *(F.sum(zi(i) * zi(j)).alias(f"t_{i}_{j}") for i in range(_P) for j in range(i + 1)),
         )
-        group = scratch.keep(_finish(group, factor), "estimate")
-    return group
+        step = _finish(step, factor)
+        if best is None:
+            best = scratch.keep(step, "estimate")
+        else:
+            falls = F.coalesce(F.col("s.det") < F.col("b.det") + math.log1p(-FALL), F.lit(False))
+            both = best.alias("b").join(step.alias("s"), _on("b", "s"), "left")
+            names = [c for c in step.columns if c not in _KEY]
+            both = both.select(*(f"b.{c}" for c in _KEY), *(F.when(falls, F.col(f"s.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in names), falls.alias("falls"))
+            both = scratch.keep(both, "estimate")
+            if is_empty(both.where("falls")):
+                return both.drop("falls", "det")
+            best = both.drop("falls")
+        group = best.drop("det")
 
 
 def judge(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -232,11 +251,13 @@ def judge(docs: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("do
     group = estimates(rows.where(~F.col("base_failed")).select("lang", "source", "z"), scratch)
     own = group.where("level = 0").drop("level", "n")
     wide = group.where("level = 1").drop("level", "n", "source")
+    whole = group.where("level = 2").drop("level", "n", "source", "lang")
     send = (lambda g: F.broadcast(g)) if group.count() <= BROADCAST_ROWS else (lambda g: g)
     params = [f"m_{i}" for i in range(_P)] + [f"l_{i}_{j}" for i in range(_P) for j in range(i + 1)]
     out = rows.alias("r").join(send(own).alias("o"), F.expr("r.lang <=> o.lang and r.source <=> o.source"), "left")
     out = out.join(send(wide).alias("w"), F.expr("r.lang <=> w.lang"), "left")
-    out = out.select("r.*", *(F.coalesce(F.col(f"o.{c}"), F.col(f"w.{c}")).alias(c) for c in params))
+    out = out.join(F.broadcast(whole).alias("a"), F.lit(True), "left")  # one row at most
+    out = out.select("r.*", *(F.coalesce(F.col(f"o.{c}"), F.col(f"w.{c}"), F.col(f"a.{c}")).alias(c) for c in params))
     out = _distance(out).drop(*params)
     far = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
     return out.select(*carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("distance2"), (~F.col("base_failed") & ~far).alias("kept"))
