@@ -38,7 +38,7 @@ MIN_WORDS = 20
 REPEAT_WINDOW = 8
 MIN_GROUP = 60
 H = 0.75
-FALL = 1e-3
+FALL = 1e-2
 #: Name of each transformed statistic and the spread (in its own unit) that is never an error.
 VECTOR = {
     "word_length": 0.15,  # log of the mean word length
