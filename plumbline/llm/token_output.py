@@ -46,6 +46,8 @@ SEQ_LEN = 2048
 BATCH = 64
 #: Words that the table of encoded words holds at most between batches.
 WORDS = 300_000
+#: Words that the table of numbers of ids holds at most between calls; an entry takes less there.
+COUNTED = 500_000
 _DOCS_IN_BATCH = 4096
 #: Documents encoded at a time.
 ENCODED = 512
@@ -86,6 +88,7 @@ class Encoder:
         )
         self.by_part = _drops_spaces(conf)
         self.words: dict[str, bytes] = {}
+        self.counts: dict[str, int] = {}
         self.points = dict(zip(".,", self._plain([".", ","]), strict=True))
         if self.by_word:
             # ids whose text begins with a space: among words that each begin with one, these begin a word
@@ -98,6 +101,13 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _lengths(self, texts: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _pointed(self, word: str) -> bool:
+        """Letters with one point after them: the ids of the letters and that of the point."""
+        return word[-1] in self.points and word[:-1].isalpha() and (word.isascii() or not self.by_part or unicodedata.normalize("NFC", word[:-1]).lower().isalpha())
+
     def _spaced(self, words: list[str]) -> list[bytes]:
         """The ids of words that follow a space, the space included: encoded in long texts and taken apart."""
         if self.by_part:
@@ -137,8 +147,7 @@ class Encoder:
         heads = dict(zip(first, self._plain(first), strict=True))
         known = self.words
         missing = seen.difference(known)
-        # letters with one point after them are the ids of the letters and that of the point
-        pointed = [w for w in missing if w[-1] in self.points and w[:-1].isalpha() and (w.isascii() or not self.by_part or unicodedata.normalize("NFC", w[:-1]).lower().isalpha())]
+        pointed = [w for w in missing if self._pointed(w)]
         missing.difference_update(pointed)
         missing.update({w[:-1] for w in pointed}.difference(known))
         missing = list(missing)
@@ -153,6 +162,43 @@ class Encoder:
                 del known[w]
         return out
 
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text.
+
+        Numbers of ids of words are kept while their table has room; the words of a text
+        that it then does not hold are counted together, as one text of their own.
+        """
+        known, get = self.counts, self.counts.get
+        out, rest, split = [0] * len(texts), list(texts), []
+        for i, text in enumerate(texts):
+            if self.by_part:
+                split.append((i, "", [w for w in text.replace("\n", " ").split(" ") if w]))
+            elif self.by_word and not self._unsafe.search(text):
+                head, *words = text.split(" ")
+                split.append((i, head, words))
+        if len(known) < COUNTED:
+            missing = set().union(*(words for _, _, words in split)).difference(known)
+            pointed = [w for w in missing if self._pointed(w)]
+            missing.difference_update(pointed)
+            missing.update({w[:-1] for w in pointed}.difference(known))
+            missing = list(missing)
+            known.update(zip(missing, self._lengths(missing if self.by_part else [" " + w for w in missing]), strict=True))
+            known.update((w, known[w[:-1]] + 1) for w in pointed)
+        for i, head, words in split:
+            counts = list(map(get, words))
+            if None in counts:
+                unknown = [w for w, n in zip(words, counts, strict=True) if n is None]
+                out[i] = sum(filter(None, counts))
+                rest[i] = " ".join(unknown if self.by_part else [head, *unknown])
+            else:
+                out[i], rest[i] = sum(counts), head
+        for w in list(itertools.islice(reversed(known), max(0, len(known) - COUNTED))):
+            del known[w]
+        left = [i for i, text in enumerate(rest) if text]
+        for i, n in zip(left, self._lengths([rest[i] for i in left]), strict=True):
+            out[i] += n
+        return out
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

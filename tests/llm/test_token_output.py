@@ -82,3 +82,17 @@ def test_encoded_words_are_the_ids_of_plain_calls():
             coder = out.Encoder(f.read())
         assert getattr(coder, table)
         assert [x for i in range(0, len(texts), 500) for x in coder.encode(texts[i : i + 500])] == coder._plain(texts)
+
+
+def test_counts_are_the_numbers_of_ids_of_plain_calls(monkeypatch):
+    rng = random.Random(4)
+    alphabet = ["a", "É", " ", " ", "\n", "\t", ".", ",", "'s", "12", "  ", "ΑΣ", "\x1c", "́", "<|endoftext|>", "中", "İ", "\x85", "word", "क़"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for room in (0, 50, out.COUNTED):
+            monkeypatch.setattr(out, "COUNTED", room)
+            with open(public_tokenizers.path(name), encoding="utf-8") as f:
+                coder = out.Encoder(f.read())
+            plain = [len(ids) // coder.dtype.itemsize for ids in coder._plain(texts)]
+            assert [n for i in range(0, len(texts), 500) for n in coder.count(texts[i : i + 500])] == plain
+            assert len(coder.counts) <= room
