@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch
 
 
-def _state(edges: DataFrame):
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges(u, v)``, u > v, has one edge down, or only edges up."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("down")), F.struct(F.col("v").alias("node"), F.lit(0).alias("down")))).alias("e"))
+    per = ends.groupBy("e.node").agg(F.sum("e.down").alias("n"), F.count("*").alias("all"))
+    return not per.where("n > 1 or (n = 1 and all > 1)").agg(F.count("*")).first()[0]
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -25,8 +27,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now = scratch.keep(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = _state(now)
-    while state[0]:
+    while not _is_forest_of_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -37,9 +38,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.keep(small.distinct(), "edges")
         scratch.drop(large)
         scratch.drop(now)
-        now, before, state = new, state, _state(new)
-        if state == before:
-            break
+        now = new
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("root"))
     ).distinct()

@@ -128,10 +128,20 @@ def _simhash_edges(rows: DataFrame, scratch: Scratch, max_dist: int) -> DataFram
     return scratch.keep(equal.union(ends.where("nu <> nv").select("nu", "nv")), "simhash-edges")
 
 
+def _joined(root: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components ``root(node, root)`` as ``links(u, v)`` join them; only linked components are worked on."""
+    of = lambda end: _sent(root.select(F.col("node").alias(end), F.col("root").alias(f"{end}r")))
+    ends = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(F.coalesce("ur", "u").alias("u"), F.coalesce("vr", "v").alias("v"))
+    up = scratch.keep(connected_components(ends, scratch), "joined")
+    old = root.join(_sent(up.select(F.col("node").alias("root"), F.col("root").alias("top"))), "root", "left")
+    fresh = up.join(_sent(root.select("node")), "node", "left_anti")
+    return scratch.keep(old.select("node", F.coalesce("top", "root").alias("root")).union(fresh.select("node", "root")), "roots")
+
+
 def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shingle: int, max_dist: int) -> DataFrame:
     """``(id_col, key, class)`` for every row; near copies and SimHash links share a class."""
     rows = scratch.keep(_rows(docs, text_col, id_col, shingle), "rows")
-    edges = _simhash_edges(rows, scratch, max_dist)
+    root = scratch.keep(connected_components(_simhash_edges(rows, scratch, max_dist), scratch), "roots")
     nodes = rows.groupBy("node").agg(F.min("key").alias("key"), F.first("buckets").alias("buckets"))
     nodes = scratch.keep(nodes, "nodes")
     dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -139,10 +149,7 @@ def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shing
     members = scratch.keep(dealt.join(_sent(shared), "bucket"), "members")
     n_members = members.count()
     sets = None
-    for turn in range(STARS + 1):
-        root = scratch.keep(connected_components(edges, scratch), "roots")
-        if not n_members:
-            break
+    for turn in range(STARS + 1 if n_members else 0):
         now = members.join(_sent(root), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
         per = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
         mixed = scratch.keep(per.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0"), "mixed")
@@ -161,10 +168,8 @@ def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shing
             hub = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), "node", "comp")).alias("h"))
             pairs = now.join(_sent(hub), "bucket").where("comp <> h.comp").select(F.col("h.node").alias("u"), F.col("node").alias("v"))
         new = scratch.keep(_similar(scratch.keep(pairs.distinct(), "pairs"), sets), "links")
-        edges = scratch.keep(edges.union(new), "edges")
+        root = root if is_empty(new) else _joined(root, new, scratch)
         if whole:
-            if not is_empty(new):
-                root = scratch.keep(connected_components(edges, scratch), "roots")
             break
     found = nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     found = scratch.keep(found, "classes")  # a join of two plain tables: a node of very many rows can be split
