@@ -1,10 +1,12 @@
-"""Command line: ``python -m plumbline.cli schemas|extract|evaluate|demo|read-images``."""
+"""Command line: ``python -m plumbline.cli version|schemas|extract|evaluate|demo|read-images``."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+import plumbline
+
 
 def _session():
     from pyspark.sql import SparkSession
@@ -17,6 +19,7 @@ def _session():
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plumbline")
     sub = p.add_subparsers(dest="command", required=True)
+    sub.add_parser("version", help="the installed version")
     s = sub.add_parser("schemas", help="list the schemas of a directory and the prompts")
     s.add_argument("directory")
     e = sub.add_parser("extract", help="score replies that lie in Parquet or JSON files")
@@ -43,6 +46,9 @@ def _read(spark, path: str):
 
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.command == "version":
+        print(plumbline.__version__)
+        return 0
     from pyspark.sql import functions as F
 
     from plumbline.operators import evaluate, observe, scoring

@@ -7,6 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
+import plumbline
 from plumbline import cli
 from plumbline.sources import model
 
@@ -65,6 +66,12 @@ def test_calls(spark, server):
     assert asked["messages"][1]["content"][1]["image_url"]["url"] == "data:image/png;base64,aGk="
 
 
+def test_version_needs_no_session(capsys, monkeypatch):
+    monkeypatch.setattr(cli, "_session", lambda: 1 / 0)
+    assert cli.main(["version"]) == 0
+    assert capsys.readouterr().out == f"{plumbline.__version__}\n"
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr(cli, "_session", lambda: spark)
     schemas = tmp_path / "schemas"
