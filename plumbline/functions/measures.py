@@ -11,6 +11,11 @@ def round_even(x: Column, places: int = 4) -> Column:
     return F.rint(x * float(10**places)) / float(10**places)
 
 
+def fixed(x: Column, places: int) -> Column:
+    """A double's text of so many places: its exact binary value rounded half to even, as C and Python print it."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * places))
+
+
 def character_error_rate(predicted: Column, truth: Column) -> Column:
     """Edit distance over the truth's length, at most 1; for an empty truth 0 or 1."""
     p, t = F.coalesce(predicted, F.lit("")), F.coalesce(truth, F.lit(""))
@@ -39,7 +44,7 @@ def temperature_for(pass_idx: Column, temperatures=(0.0, 0.35)) -> Column:
 
 
 def config_label(version: Column, passes: Column, threshold: Column) -> Column:
-    return F.format_string("%s | %dp | t=%.2f", version, passes, threshold)
+    return F.format_string("%s | %dp | t=%s", version, passes, fixed(threshold, 2))
 
 
 def gpu_memory_fraction(budget: Column, total: Column) -> Column:

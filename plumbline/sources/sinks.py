@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.measures import fixed
 from plumbline.functions.text import output_name
 
 
@@ -41,10 +42,10 @@ STATUS = {
 
 def markdown_rows(reports: DataFrame) -> DataFrame:
     """``(ord, line)`` of the ablation table: header, rule, and a line for each report in order of its label."""
-    pct = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
+    pct = lambda c: F.concat(fixed(F.col(c) * 100, 1), F.lit("%"))
     line = F.concat(F.lit("| "), F.concat_ws(
         " | ", "label", pct("coverage"), pct("precision"), pct("hallucination_rate"), pct("abstention_precision"),
-        F.format_string("%.3f", "mean_cer"), F.format_number("total_tokens", 0), F.concat(F.lit("$"), F.format_number("cost_per_1k", 2)),
+        fixed(F.col("mean_cer"), 3), F.format_number("total_tokens", 0), F.concat(F.lit("$"), F.format_number("cost_per_1k", 2)),
     ), F.lit(" |"))
     head = ["| " + " | ".join(COLUMNS) + " |", "|---|" + "---:|" * (len(COLUMNS) - 1)]
     top = reports.sparkSession.createDataFrame(list(enumerate(head)), "ord int, line string")

@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import measures
 from plumbline.operators import ops
 from plumbline.plans import extraction, queries
 from plumbline.sources import catalog, datasets, sinks
@@ -102,6 +103,15 @@ def test_sinks(spark, tmp_path):
     assert [r.line for r in line.collect()] == ["OK   f = v (1.00)", "HOLD g = why (0.10)"]
 
 
+def test_report_lines_round_the_exact_value(spark):
+    shares = [0.5455, 0.5345, 0.1255, 0.0005, 0.9985, 0.0625, 1.0, 0.0]
+    reports = spark.createDataFrame([(f"r{i}", x, x, x, x, x / 10, 1234567, x * 5) for i, x in enumerate(shares)], "label string, coverage double, precision double, hallucination_rate double, abstention_precision double, mean_cer double, total_tokens bigint, cost_per_1k double")
+    want = [f"| r{i} | {x:.1%} | {x:.1%} | {x:.1%} | {x:.1%} | {x / 10:.3f} | 1,234,567 | ${x * 5:,.2f} |" for i, x in enumerate(shares)]
+    assert sinks.markdown(reports).split("\n")[2:] == want
+    t = spark.createDataFrame([(0.625,), (0.615,), (0.62,), (0.5,)], "t double")
+    assert [r[0] for r in t.select(measures.config_label(F.lit("v3"), F.lit(2), F.col("t"))).collect()] == ["v3 | 2p | t=0.62", "v3 | 2p | t=0.61", "v3 | 2p | t=0.62", "v3 | 2p | t=0.50"]
+
+
 def test_read_images_plan(spark):
     img = spark.createDataFrame([("i",), ("j",)], "image_id string")
     replies = spark.createDataFrame([("i", 0, '{"kind": "sign", "lines": ["STOP"]}'), ("i", 1, "```json\n{\"lines\": \"stop\"}\n```"), ("j", 0, "down")], "image_id string, view_ord int, reply string")
