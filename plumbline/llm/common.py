@@ -56,6 +56,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: list[str] = []
         Scratch._roots.append((spark, self.root))
 
     def path(self, label: str) -> str:
@@ -66,6 +67,7 @@ class Scratch:
         """Write ``df`` as Parquet and return the written table."""
         path = self.path(label)
         schema = df.schema
+        self._paths.append(path)
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
@@ -77,6 +79,14 @@ class Scratch:
         if path:
             _delete(self.spark, path)
 
+    def drop_but(self, *dfs: DataFrame) -> None:
+        """Delete all tables but those given."""
+        stay = {getattr(df, "_scratch_path", None) for df in dfs}
+        for path in self._paths:
+            if path not in stay:
+                _delete(self.spark, path)
+        self._paths = [p for p in self._paths if p in stay]
+
 
 def repeatable(df: DataFrame, scratch: Scratch) -> DataFrame:
     """``df`` if a second run over it deals the same rows to the same tasks in the same order, else a written copy."""

@@ -8,10 +8,19 @@ orders; nodes that agree on all ``ROWS`` of a band share a bucket. A pair of
 similarity s shares none with probability ``(1 - s**ROWS)**BANDS``: 6e-6 at 0.8,
 8e-14 at 0.9. Each candidate pair is then judged by its full shingle sets.
 
-A bucket's nodes are first compared with one of them, a new one each round, so a
-large group of near copies comes together by few pairs; then all pairs of a bucket
-that no link has joined so far are compared. No pair of a bucket goes unjudged
-unless its nodes are already in one component. SimHash links are taken in as well.
+While a bucket's open pairs (of nodes that no link has joined so far) are many, its
+nodes are compared with one of them, the one that meets most others in all its
+buckets, which then leaves the bucket; so a large group comes together around its
+middle by few pairs. What is open after ``STARS`` rounds is found by prefixes: with
+the shingles of each set ordered alike, the common ones last, two similar sets share
+one of their first few, and a first shared one stands early enough in both to leave
+room for the shingles that they need in common. That holds for any order and loses no
+pair; texts of a group that are too far apart differ in rare shingles, which come
+first, so they don't meet. No pair of a bucket goes unjudged unless its nodes are
+already in one component. SimHash links are taken in as well.
+
+Before the sets are fetched, pairs are dropped that can't be similar by their sizes, or
+because a bitmap of the shingles differs in more bits than the sets may in shingles.
 """
 
 from __future__ import annotations
@@ -36,6 +45,11 @@ ROWS = 6
 STARS = 4
 #: Pairs are few when there are at most this many a row of a bucket.
 FEW = 4
+#: Bits of a set's bitmap.
+BITMAP = 1024
+#: Shingles of at least this many open nodes are common, the most common ``MOST`` of them at most; the order alone hangs on it.
+COMMON = 8
+MOST = 1 << 20
 _BLOCK = 2048
 _MIX = np.array([[xxhash.xxh32_intdigest(f"{kind}{i}") for i in range(BANDS * ROWS)] for kind in "xm"], dtype=np.uint32)
 _XOR, _MUL = _MIX[0][:, None], (_MIX[1] | np.uint32(1))[:, None]
@@ -62,29 +76,41 @@ def bands(shingle_set: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bitmap(shingle_set: np.ndarray) -> np.ndarray:
+    """A bit for each remainder of the shingles by ``BITMAP``, as longs."""
+    bits = np.zeros(BITMAP, dtype=bool)
+    bits[(shingle_set % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _bytes(text) -> bytes:
     return text.as_buffer().to_pybytes() if text.is_valid else b""
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def _rows(docs: DataFrame, text_col: str, id_col: str, shingle: int) -> DataFrame:
-    """``(id_col, key, fp, node, buckets)`` for every row."""
-    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint, node bigint, buckets array<bigint>"
-    names = [id_col, "key", "fp", "node", "buckets"]
+    """``(id_col, key, fp, node, n, bits, buckets)`` for every row; ``n``: the shingles of its set."""
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, key bigint, fp bigint, node bigint, n bigint, bits array<bigint>, buckets array<bigint>"
+    names = [id_col, "key", "fp", "node", "n", "bits", "buckets"]
 
     def run(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
-                fps, nodes, keys = [], [], []
+                fps, nodes, sizes, bits, keys = [], [], [], [], []
                 for t in map(_bytes, some.column(2)):
                     own = shingles(t)
                     fps.append(simhash.fingerprint(t, shingle))
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes()))
+                    sizes.append(len(own))
+                    bits.append(bitmap(own))
                     keys.append(bands(own))
-                flat = pa.array(np.concatenate(keys))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
                 long = lambda a: pa.array(np.array(a, dtype=np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), long(fps), long(nodes), lists], names=names)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), long(fps), long(nodes), long(sizes), _lists(bits), _lists(keys)], names=names)
 
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col), F.xxhash64(text), text).mapInArrow(run, schema)
@@ -97,9 +123,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, text_col: str, scratch: Scratch) -
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.slice(i, 512)
-                found = [shingles(_bytes(t)).view(np.int64) for t in some.column(1)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "set"])
+                found = _lists([shingles(_bytes(t)).view(np.int64) for t in some.column(1)])
+                yield pa.RecordBatch.from_arrays([some.column(0), found], names=["node", "set"])
 
     texts = docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(_sent(wanted), "key").groupBy("node").agg(F.first("text").alias("text"))
@@ -110,12 +135,72 @@ def _sent(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _may_be_similar(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``pairs(u, v)`` without those that sizes or bitmaps rule out."""
+    of = lambda end: nodes.select(F.col("node").alias(end), F.col("n").alias(f"{end}n"), F.col("bits").alias(f"{end}b"))
+    both = of("u").join(_sent(pairs), "u").join(of("v"), "v").where(f"100 * least(un, vn) >= {PERCENT} * greatest(un, vn)")
+    differ = F.expr("aggregate(zip_with(ub, vb, (a, b) -> bit_count(a ^ b)), 0, (s, x) -> s + x)")
+    return both.where((100 + PERCENT) * differ <= (100 - PERCENT) * (F.col("un") + F.col("vn"))).select("u", "v")
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """Those of ``pairs(u, v)`` whose sets are similar."""
+    pairs = scratch.keep(_may_be_similar(pairs, nodes), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = scratch.keep(nodes.select("node", "key").join(_sent(ends), "node"), "wanted")
+    sets = _sets(docs, wanted, text_col, scratch)
     left = sets.select(F.col("node").alias("u"), F.col("set").alias("us")).join(_sent(pairs), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("set").alias("vs")), "v")
     both = both.select("u", "v", F.size(F.array_intersect("us", "vs")).cast("long").alias("i"), (F.size("us") + F.size("vs")).cast("long").alias("n"))
-    return both.where(100 * F.col("i") >= PERCENT * (F.col("n") - F.col("i"))).select("u", "v")
+    links = scratch.keep(both.where(100 * F.col("i") >= PERCENT * (F.col("n") - F.col("i"))).select("u", "v"), "links")
+    scratch.drop(sets)
+    return links
+
+
+def prefix(shingle_set: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by rank, then value: so many that a set similar to it has one of them. ``common`` is sorted; others rank 0."""
+    rank = np.zeros(len(shingle_set), dtype=np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingle_set), len(common) - 1)
+        rank = np.where(common[at] == shingle_set, ranks[at], 0)
+    n = len(shingle_set)
+    return shingle_set[np.lexsort((shingle_set, rank))[: n + (-PERCENT * n) // 100 + 1]]
+
+
+def _by_prefix(docs: DataFrame, now: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
+    """Pairs ``(u, v)`` of the nodes of ``now(node, comp)``, among them all similar ones of different components."""
+    comps = now.select("node", "comp").distinct()
+    wanted = scratch.keep(comps.join(nodes.select("node", "key"), "node").select("node", "key"), "wanted")
+    sets = _sets(docs, wanted, text_col, scratch)
+
+    def counts(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found, n = np.unique(batch.column(0).flatten().to_numpy(), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["shingle", "c"])
+
+    often = sets.select("set").mapInArrow(counts, "shingle bigint, c bigint").groupBy("shingle").agg(F.sum("c").alias("c"))
+    often = often.where(f"c >= {COMMON}").orderBy(F.desc("c"), "shingle").limit(MOST).toPandas().sort_values("shingle")
+    order = docs.sparkSession.sparkContext.broadcast((often["shingle"].to_numpy(dtype=np.int64), often["c"].to_numpy(dtype=np.int64)))
+
+    def firsts(batches):
+        common, ranks = order.value
+        for batch in batches:
+            for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = own.values.to_numpy()
+                first = prefix(own, common, ranks)
+                flat = lambda x, n=len(first): pa.array(np.full(n, x, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(first), flat(node), flat(len(own)), pa.array(np.arange(len(first), dtype=np.int64))], names=["shingle", "node", "n", "at"])
+
+    rows = sets.mapInArrow(firsts, "shingle bigint, node bigint, n bigint, at bigint").join(_sent(comps), "node")
+    rows = scratch.keep(rows, "prefixes")
+    room = f"{100 + PERCENT} * ({{0}}.n - {{0}}.at) >= {PERCENT} * (l.n + r.n)"
+    on = f"l.shingle = r.shingle and l.node < r.node and l.comp <> r.comp and {room.format('l')} and {room.format('r')}"
+    pairs = rows.alias("l").join(rows.alias("r"), F.expr(on)).select(F.col("l.node").alias("u"), F.col("r.node").alias("v")).distinct()
+    pairs = scratch.keep(pairs, "pairs")
+    scratch.drop(sets)
+    scratch.drop(rows)
+    return pairs
 
 
 def _simhash_edges(rows: DataFrame, scratch: Scratch, max_dist: int) -> DataFrame:
@@ -142,38 +227,43 @@ def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shing
     """``(id_col, key, class)`` for every row; near copies and SimHash links share a class."""
     rows = scratch.keep(_rows(docs, text_col, id_col, shingle), "rows")
     root = scratch.keep(connected_components(_simhash_edges(rows, scratch, max_dist), scratch), "roots")
-    nodes = rows.groupBy("node").agg(F.min("key").alias("key"), F.first("buckets").alias("buckets"))
-    nodes = scratch.keep(nodes, "nodes")
-    dealt = nodes.select("node", F.explode("buckets").alias("bucket"))
-    shared = scratch.keep(dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
-    members = scratch.keep(dealt.join(_sent(shared), "bucket"), "members")
-    n_members = members.count()
-    sets = None
-    for turn in range(STARS + 1 if n_members else 0):
+    dealt = scratch.keep(rows.groupBy("node").agg(F.min("key").alias("key"), *(F.first(c).alias(c) for c in ("n", "bits", "buckets"))), "dealt")
+    ids = scratch.keep(rows.select(id_col, "key", "node"), "ids")
+    scratch.drop(rows)
+    nodes = scratch.keep(dealt.drop("buckets"), "nodes")
+    each = dealt.select("node", F.explode("buckets").alias("bucket"))
+    shared = scratch.keep(each.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "buckets")
+    members = scratch.keep(each.join(_sent(shared), "bucket"), "members")
+    scratch.drop(dealt)
+    scratch.drop(shared)
+    for turn in range(STARS + 1):
         now = members.join(_sent(root), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
         per = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
-        mixed = scratch.keep(per.agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open")).where("open > 0"), "mixed")
+        mixed = per.agg(F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
+        mixed = scratch.keep(mixed.where("open > 0"), "mixed")
         n_open = mixed.agg(F.sum("open")).first()[0] or 0
         if not n_open:
             break
-        now = scratch.keep(now.join(_sent(mixed.select("bucket")), "bucket"), "open")
-        if sets is None:
-            wanted = now.select("node").distinct().join(nodes.select("node", "key"), "node")
-            sets = _sets(docs, scratch.keep(wanted, "wanted"), text_col, scratch)
-        whole = turn == STARS or n_open <= FEW * n_members
-        if whole:
+        now = scratch.keep(now.join(_sent(mixed.select("bucket", "size")), "bucket"), "open")
+        few = n_open <= FEW * now.count()
+        if few:
             other = now.select("bucket", F.col("node").alias("v"), F.col("comp").alias("vc"))
-            pairs = _sent(now).join(other, "bucket").where("node < v and comp <> vc").select(F.col("node").alias("u"), "v")
+            pairs = now.join(other, "bucket").where("node < v and comp <> vc").select(F.col("node").alias("u"), "v")
+        elif turn == STARS:
+            pairs = _by_prefix(docs, now, nodes, text_col, scratch)
         else:
-            hub = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("o"), "node", "comp")).alias("h"))
-            pairs = now.join(_sent(hub), "bucket").where("comp <> h.comp").select(F.col("h.node").alias("u"), F.col("node").alias("v"))
-        new = scratch.keep(_similar(scratch.keep(pairs.distinct(), "pairs"), sets), "links")
+            met = now.groupBy("node").agg(F.sum("size").alias("met"))
+            hub = now.join(_sent(met), "node").groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("o"), "node", "comp")).alias("h"))
+            now = scratch.keep(now.join(_sent(hub), "bucket").where("node <> h.node"), "others")
+            pairs = now.where("comp <> h.comp").select(F.col("h.node").alias("u"), F.col("node").alias("v"))
+            members = now.select("bucket", "node")
+        new = _similar(docs, scratch.keep(pairs.distinct(), "pairs"), nodes, text_col, scratch)
         root = root if is_empty(new) else _joined(root, new, scratch)
-        if whole:
+        if few:
             break
     found = nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     found = scratch.keep(found, "classes")  # a join of two plain tables: a node of very many rows can be split
-    return rows.select(id_col, "key", "node").join(found, "node").select(id_col, "key", "class")
+    return ids.join(found, "node").select(id_col, "key", "class")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 3, max_dist: int = 2) -> DataFrame:

@@ -179,12 +179,13 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
 
 
 def keep_least(docs: DataFrame, rows: DataFrame, scratch: Scratch, text_col: str, id_col: str) -> DataFrame:
-    """``keep_one`` by the classes ``rows(id_col, key, class)``."""
+    """``keep_one`` by the classes ``rows(id_col, key, class)``; the other tables of ``scratch`` are deleted."""
     per = scratch.keep(rows.groupBy("class", F.col(id_col).alias("__id"), F.col("key").alias("__key")).agg(F.count("*").alias("__n")), "texts")
     least = per.groupBy("class").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), "__id", "__key")).alias("w"))
     least = least.select(F.col("w.__id").alias("__wid"), F.col("w.__key").alias("__wkey"), F.lit(True).alias("__stays"))
     per = per.join(least, F.expr("__id <=> __wid and __key = __wkey"), "left").where("__stays is null or __n > 1")
     per = scratch.keep(per.select("__id", "__key", F.when(F.col("__stays"), F.col("__n")).otherwise(0).alias("__n")), "not-once")
+    scratch.drop_but(per)  # the result reads no other
     n_drop = per.count()
     key = F.xxhash64(F.col(text_col).cast("string"))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (key == F.col("__key"))

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from plumbline.llm import near_copies
+from plumbline.llm.common import Scratch
 from plumbline.llm.near_copies import shingles
 from plumbline.llm.simhash import fingerprint
 
@@ -56,3 +58,24 @@ def test_stage_drops_planted_near_copies(spark):
     assert len(want) < len(texts) - 200
     assert {r.doc_id for r in out.collect()} == want
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_prefixes_meet_all_similar_pairs_and_few_others(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(7))
+    base = [word() for _ in range(150)]
+
+    def changed(words, at):
+        return [word() if i in at else w for i, w in enumerate(words)]
+
+    far = [changed(base, set(rng.sample(range(150), 6))) for _ in range(120)]
+    twins = [changed(w, {rng.randrange(150)}) for w in far[:15]]
+    texts = [" ".join(w) for w in far + twins]
+    own = [set(shingles(t.encode()).tolist()) for t in texts]
+    like = {(i, j) for j in range(len(own)) for i in range(j) if 9 * len(own[i] & own[j]) >= 4 * (len(own[i]) + len(own[j]))}
+    assert len(like) >= 15
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    nodes = docs.selectExpr("doc_id as node", "xxhash64(text) as key")
+    got = near_copies._by_prefix(docs, nodes.selectExpr("node", "node as comp"), nodes, "text", Scratch(spark, "prefix"))
+    got = {(r.u, r.v) for r in got.collect()}
+    assert like <= got and len(got) < 4 * len(texts)
