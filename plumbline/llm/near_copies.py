@@ -11,7 +11,9 @@ similarity s shares none with probability ``(1 - s**ROWS)**BANDS``: 6e-6 at 0.8,
 While a bucket's open pairs (of nodes that no link has joined so far) are many, its
 nodes are compared with one of them, the one that meets most others in all its
 buckets, which then leaves the bucket; so a large group comes together around its
-middle by few pairs. What is open after ``STARS`` rounds is found by prefixes: with
+middle by few pairs. That ends after ``STARS`` rounds, or with the first that links
+few of its pairs: what shares buckets then is mostly too far apart, and another round
+would only go over the same rows. What is open then is found by prefixes: with
 the shingles of each set ordered alike, the common ones last, two similar sets share
 one of their first few, and a first shared one stands early enough in both to leave
 room for the shingles that they need in common. That holds for any order and loses no
@@ -30,7 +32,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import simhash
@@ -43,6 +45,8 @@ BANDS = 40
 ROWS = 6
 #: Rounds of comparing with one node a bucket, at most; none while the pairs are few.
 STARS = 4
+#: A round is the last if it links less than one in so many of its pairs.
+SPENT = 10
 #: Pairs are few when there are at most this many a row of a bucket.
 FEW = 4
 #: Bits of a set's bitmap.
@@ -169,7 +173,7 @@ def prefix(shingle_set: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np
 
 def _by_prefix(docs: DataFrame, now: DataFrame, nodes: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """Pairs ``(u, v)`` of the nodes of ``now(node, comp)``, among them all similar ones of different components."""
-    comps = now.select("node", "comp").distinct()
+    comps = scratch.keep(now.select("node", "comp").distinct(), "comps")
     wanted = scratch.keep(comps.join(nodes.select("node", "key"), "node").select("node", "key"), "wanted")
     sets = _sets(docs, wanted, text_col, scratch)
 
@@ -186,14 +190,14 @@ def _by_prefix(docs: DataFrame, now: DataFrame, nodes: DataFrame, text_col: str,
     def firsts(batches):
         common, ranks = order.value
         for batch in batches:
-            for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for node, comp, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 own = own.values.to_numpy()
                 first = prefix(own, common, ranks)
                 flat = lambda x, n=len(first): pa.array(np.full(n, x, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(first), flat(node), flat(len(own)), pa.array(np.arange(len(first), dtype=np.int64))], names=["shingle", "node", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(first), flat(node), flat(comp), flat(len(own)), pa.array(np.arange(len(first), dtype=np.int64))], names=["shingle", "node", "comp", "n", "at"])
 
-    rows = sets.mapInArrow(firsts, "shingle bigint, node bigint, n bigint, at bigint").join(_sent(comps), "node")
-    rows = scratch.keep(rows, "prefixes")
+    rows = sets.join(_sent(comps), "node").select("node", "comp", "set")
+    rows = scratch.keep(rows.mapInArrow(firsts, "shingle bigint, node bigint, comp bigint, n bigint, at bigint"), "prefixes")
     room = f"{100 + PERCENT} * ({{0}}.n - {{0}}.at) >= {PERCENT} * (l.n + r.n)"
     on = f"l.shingle = r.shingle and l.node < r.node and l.comp <> r.comp and {room.format('l')} and {room.format('r')}"
     pairs = rows.alias("l").join(rows.alias("r"), F.expr(on)).select(F.col("l.node").alias("u"), F.col("r.node").alias("v")).distinct()
@@ -236,31 +240,37 @@ def classes(docs: DataFrame, scratch: Scratch, text_col: str, id_col: str, shing
     members = scratch.keep(each.join(_sent(shared), "bucket"), "members")
     scratch.drop(dealt)
     scratch.drop(shared)
+    spent = False
     for turn in range(STARS + 1):
         now = members.join(_sent(root), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+        now = scratch.keep(now, "known")
         per = now.groupBy("bucket", "comp").agg(F.count("*").alias("c")).groupBy("bucket")
         mixed = per.agg(F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"))
         mixed = scratch.keep(mixed.where("open > 0"), "mixed")
-        n_open = mixed.agg(F.sum("open")).first()[0] or 0
+        n_open, n_rows = mixed.agg(F.sum("open"), F.sum("size")).first()
         if not n_open:
             break
-        now = scratch.keep(now.join(_sent(mixed.select("bucket", "size")), "bucket"), "open")
-        few = n_open <= FEW * now.count()
+        now = now.join(_sent(mixed.select("bucket", "size")), "bucket")
+        few = n_open <= FEW * n_rows
         if few:
+            now = scratch.keep(now.select("bucket", "node", "comp"), "open")
             other = now.select("bucket", F.col("node").alias("v"), F.col("comp").alias("vc"))
             pairs = now.join(other, "bucket").where("node < v and comp <> vc").select(F.col("node").alias("u"), "v")
-        elif turn == STARS:
+        elif spent or turn == STARS:
             pairs = _by_prefix(docs, now, nodes, text_col, scratch)
         else:
-            met = now.groupBy("node").agg(F.sum("size").alias("met"))
-            hub = now.join(_sent(met), "node").groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("o"), "node", "comp")).alias("h"))
+            met = F.sum("size").over(Window.partitionBy("node"))  # a node has a row a band at most
+            now = scratch.keep(now.select("bucket", "node", "comp", met.alias("met")), "open")
+            hub = now.groupBy("bucket").agg(F.min(F.struct((-F.col("met")).alias("o"), "node", "comp")).alias("h"))
             now = scratch.keep(now.join(_sent(hub), "bucket").where("node <> h.node"), "others")
             pairs = now.where("comp <> h.comp").select(F.col("h.node").alias("u"), F.col("node").alias("v"))
             members = now.select("bucket", "node")
-        new = _similar(docs, scratch.keep(pairs.distinct(), "pairs"), nodes, text_col, scratch)
+        pairs = scratch.keep(pairs.distinct(), "pairs")
+        new = _similar(docs, pairs, nodes, text_col, scratch)
         root = root if is_empty(new) else _joined(root, new, scratch)
-        if few:
+        if few or spent:
             break
+        spent = SPENT * new.count() < pairs.count()
     found = nodes.select("node").join(root, "node", "left").select("node", F.coalesce("root", "node").alias("class"))
     found = scratch.keep(found, "classes")  # a join of two plain tables: a node of very many rows can be split
     return ids.join(found, "node").select(id_col, "key", "class")

@@ -79,3 +79,28 @@ def test_prefixes_meet_all_similar_pairs_and_few_others(spark, tmp_path):
     got = near_copies._by_prefix(docs, nodes.selectExpr("node", "node as comp"), nodes, "text", Scratch(spark, "prefix"))
     got = {(r.u, r.v) for r in got.collect()}
     assert like <= got and len(got) < 4 * len(texts)
+
+
+def test_rounds_end_when_they_link_little(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeioustrnl") for _ in range(7))
+    base = [word() for _ in range(150)]
+
+    def changed(words, k):
+        at = set(rng.sample(range(len(words)), k))
+        return [word() if i in at else w for i, w in enumerate(words)]
+
+    far = [changed(base, 4) for _ in range(120)]
+    texts = [" ".join(w) for w in far + [changed(w, 1) for w in far[:15]]]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    labels, keep = [], Scratch.keep
+
+    def kept(self, df, label):
+        labels.append(label)
+        return keep(self, df, label)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    want = plain_least(texts)
+    assert got == want and 60 < len(want) <= 120
+    assert labels.count("prefixes") == 1 and labels.count("others") == 1
