@@ -46,6 +46,8 @@ SEQ_LEN = 2048
 BATCH = 64
 #: Words that the table of encoded words holds at most between batches.
 WORDS = 300_000
+#: Of them, those that came in two calls or more stay for good, up to this many; the others go, the oldest first.
+AGAIN = 180_000
 #: Words that the table of numbers of ids holds at most between calls; an entry takes less there.
 COUNTED = 500_000
 _DOCS_IN_BATCH = 4096
@@ -88,6 +90,7 @@ class Encoder:
         )
         self.by_part = _drops_spaces(conf)
         self.words: dict[str, bytes] = {}
+        self.fresh: dict[str, bytes] = {}
         self.counts: dict[str, int] = {}
         self.points = dict(zip(".,", self._plain([".", ","]), strict=True))
         if self.by_word:
@@ -126,40 +129,48 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text. A space before a word always starts a new piece of text for the tokenizer."""
+        known, fresh, get = self.words, self.fresh, self.words.get
         out: list = [None] * len(texts)
-        whole, split, first, seen = [], [], set(), set()
+        whole, split, first, unknown = [], [], set(), set()
         for i, text in enumerate(texts):
             if self.by_part:
-                words = [w for w in text.replace("\n", " ").split(" ") if w]
-                split.append((i, "", words))
-                first.add("")
-                seen.update(words)
+                head, words = "", [w for w in text.replace("\n", " ").split(" ") if w]
             elif self.by_word and not self._unsafe.search(text):
                 head, *words = text.split(" ")
-                split.append((i, head, words))
-                first.add(head)
-                seen.update(words)
             else:
                 whole.append(i)
+                continue
+            parts = list(map(get, words))
+            open_at = [k for k, ids in enumerate(parts) if ids is None]
+            unknown.update(map(words.__getitem__, open_at))
+            first.add(head)
+            split.append((i, head, words, parts, open_at))
         for i, ids in zip(whole, self._plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
         first = list(first)
         heads = dict(zip(first, self._plain(first), strict=True))
-        known = self.words
-        missing = seen.difference(known)
-        pointed = [w for w in missing if self._pointed(w)]
-        missing.difference_update(pointed)
-        missing.update({w[:-1] for w in pointed}.difference(known))
-        missing = list(missing)
-        new = dict(zip(missing, self._spaced(missing), strict=True))
-        known.update(new)
-        known.update((w, known[w[:-1]] + self.points[w[-1]]) for w in pointed)
-        of = known.__getitem__
-        for i, head, words in split:
-            out[i] = heads[head] + b"".join(map(of, words))
-        if len(known) > WORDS:
-            for w in itertools.islice(itertools.chain(pointed, missing), len(known) - WORDS):
-                del known[w]
+        again = {w: fresh[w] for w in unknown if w in fresh}
+        pointed = [w for w in unknown if w not in again and self._pointed(w)]
+        unknown.difference_update(again, pointed)
+        bare = {w[:-1] for w in pointed}.difference(known, again)
+        again.update({w: fresh[w] for w in bare if w in fresh})
+        missing = list(unknown.union(bare).difference(again))
+        found = dict(zip(missing, self._spaced(missing), strict=True))
+        now = again | found
+        for w in pointed:
+            ids = now.get(w[:-1])
+            now[w] = (known[w[:-1]] if ids is None else ids) + self.points[w[-1]]
+        for i, head, words, parts, open_at in split:
+            for k in open_at:
+                parts[k] = now[words[k]]
+            out[i] = heads[head] + b"".join(parts)
+        stay = list(again) + [w for w in pointed if w[:-1] in known]
+        for w in stay[: max(0, AGAIN - len(known))]:
+            known[w] = now[w]
+            fresh.pop(w, None)
+        fresh.update(found)
+        for w in list(itertools.islice(fresh, max(0, len(fresh) + len(known) - WORDS))):
+            del fresh[w]
         return out
 
     def count(self, texts: list[str]) -> list[int]:

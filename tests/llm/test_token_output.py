@@ -96,3 +96,22 @@ def test_counts_are_the_numbers_of_ids_of_plain_calls(monkeypatch):
             plain = [len(ids) // coder.dtype.itemsize for ids in coder._plain(texts)]
             assert [n for i in range(0, len(texts), 500) for n in coder.count(texts[i : i + 500])] == plain
             assert len(coder.counts) <= room
+
+
+def test_words_that_come_again_are_encoded_twice_at_most(monkeypatch):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        coder = out.Encoder(f.read())
+    monkeypatch.setattr(out, "WORDS", 60)
+    monkeypatch.setattr(out, "AGAIN", 40, raising=False)
+    asked, spaced = [], coder._spaced
+
+    def counted(words):
+        asked.extend(words)
+        return spaced(words)
+
+    monkeypatch.setattr(coder, "_spaced", counted)
+    texts = [["once " + " ".join(f"w{i}x{k}q" for k in range(50)) + " late words. late, 3. w\nlate." * (i > 2)] for i in range(20)]
+    plain = [coder._plain(t) for t in texts]
+    assert [coder.encode(t) for t in texts] == plain
+    assert asked.count("late") <= 2 and asked.count("words") <= 2
+    assert len(coder.words) + len(getattr(coder, "fresh", ())) <= 60
